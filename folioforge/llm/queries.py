@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.components import connected_components
 from folioforge.llm.confusables import same_look
 from folioforge.llm.fusion import best_members
+from folioforge.llm.names import link_names
 from folioforge.operators.record import CLUSTER_NOTE, ark, clean_ark, first, parse_zones, zone_values, zones_of
 from folioforge.sources.tables import table
 from folioforge.llm.sql import ORACLE  # noqa: F401
@@ -27,6 +28,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look(pairs, "title", "own").select("detection_id").distinct()
 
 
+def catalogue_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The names of the ARKs of the name store: its variants and the headings 100/400/110/410 of their records."""
+    store = table(spark, folder, "nes_variant").select(clean_ark(F.col("ark")).alias("key"), F.col("variant").alias("text")).filter("key is not null").distinct()
+    records = table(spark, folder, "test_honorific").filter(_mentions("100$a", "110$a")).select("intermarc").unionByName(table(spark, folder, "authority_core").select("intermarc"))
+    zones = records.select(parse_zones(F.col("intermarc")).alias("zones"))
+    heads = F.filter(F.col("zones"), lambda z: z["code"].isin("100", "400", "110", "410"))
+    part = lambda z, s: F.try_element_at(zone_values(z, F.concat(z["code"], F.lit(s))), F.lit(1))
+    rows = zones.select(clean_ark(ark(F.col("zones"))).alias("key"), F.explode(F.transform(heads, lambda z: F.struct(
+        F.concat_ws(" ", part(z, "$a"), part(z, "$m")).alias("text"), F.when(z["code"].isin("100", "400"), "person").otherwise("body").alias("kind"), part(z, "$d").alias("years"), z["code"].isin("100", "110").alias("head")
+    ))).alias("n")).select("key", "n.*")
+    own = rows.join(store.select("key").distinct(), "key", "left_semi")
+    bodies = own.select("key", "kind").distinct()
+    known = store.join(bodies, "key", "left").select("key", "text", "kind", F.lit(None).cast("string").alias("years"), F.lit(False).alias("head"))
+    return own.unionByName(known)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return link_names(catalogue_names(spark, folder)).select(F.col("a").alias("ark_a"), F.col("b").alias("ark_b"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     best = best_members(table(spark, folder, "cluster_result"), table(spark, folder, "test_honorific"), table(spark, folder, "provenance_level"))
     return best.filter("dominant").select("cluster_id", "best_id")
@@ -52,4 +73,4 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_components(match_links(spark, folder)).select(F.col("node").alias("ark"), F.col("root").alias("group_ark"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_representatives, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found)}
