@@ -10,6 +10,7 @@ from folioforge.llm.confusables import same_look
 from folioforge.llm.fusion import best_members
 from folioforge.llm.names import link_names
 from folioforge.operators.record import CLUSTER_NOTE, ark, clean_ark, first, parse_zones, zone_values, zones_of
+from folioforge.session import materialize
 from folioforge.sources.tables import table
 from folioforge.llm.sql import ORACLE  # noqa: F401
 
@@ -38,6 +39,7 @@ def catalogue_names(spark: SparkSession, folder: str) -> DataFrame:
     rows = zones.select(clean_ark(ark(F.col("zones"))).alias("key"), F.explode(F.transform(heads, lambda z: F.struct(
         F.concat_ws(" ", part(z, "$a"), part(z, "$m")).alias("text"), F.when(z["code"].isin("100", "400"), "person").otherwise("body").alias("kind"), part(z, "$d").alias("years"), z["code"].isin("100", "110").alias("head")
     ))).alias("n")).select("key", "n.*")
+    rows = materialize(rows, "headings")
     own = rows.join(store.select("key").distinct(), "key", "left_semi")
     bodies = own.select("key", "kind").distinct()
     known = store.join(bodies, "key", "left").select("key", "text", "kind", F.lit(None).cast("string").alias("years"), F.lit(False).alias("head"))
