@@ -9,10 +9,11 @@ from folioforge.llm.components import connected_components
 from folioforge.llm.confusables import same_look
 from folioforge.llm.fusion import best_members
 from folioforge.llm.names import link_names
+from folioforge.llm.sentences import sentences
+from folioforge.llm.sql import ORACLE  # noqa: F401
 from folioforge.operators.record import CLUSTER_NOTE, ark, clean_ark, first, parse_zones, zone_values, zones_of
 from folioforge.session import materialize
 from folioforge.sources.tables import table
-from folioforge.llm.sql import ORACLE  # noqa: F401
 
 
 def _mentions(*words: str) -> str:
@@ -75,4 +76,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_components(match_links(spark, folder)).select(F.col("node").alias("ark"), F.col("root").alias("group_ark"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found, p10_found)}
