@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.components import connected_components
 from folioforge.llm.confusables import same_look
 from folioforge.llm.fusion import best_members
+from folioforge.llm.leakage import find_leaks
 from folioforge.llm.names import link_names
 from folioforge.llm.sentences import sentences
 from folioforge.llm.sql import ORACLE  # noqa: F401
@@ -80,4 +81,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found, p10_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found, p9_found, p10_found)}
