@@ -10,6 +10,7 @@ from folioforge.llm.confusables import same_look
 from folioforge.llm.fusion import best_members
 from folioforge.llm.leakage import find_leaks
 from folioforge.llm.names import link_names
+from folioforge.llm.packing import pack, token_counts
 from folioforge.llm.sentences import sentences
 from folioforge.llm.sql import ORACLE  # noqa: F401
 from folioforge.operators.record import CLUSTER_NOTE, ark, clean_ark, first, parse_zones, zone_values, zones_of
@@ -81,8 +82,12 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(token_counts(table(spark, folder, "documents")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found, p8_packing, p9_found, p10_found)}
