@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The precomposed letters of these blocks are folded to what NFKD without marks leaves of them.
-FOLD_BLOCKS = ((0x00A0, 0x024F), (0x0370, 0x052F), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0xFF01, 0xFF5E))
+FOLD_BLOCKS = ((0x00A0, 0x024F), (0x0370, 0x052F), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0x3000, 0x3000), (0xFF01, 0xFF5E))
 
 
 def _bare(ch: str) -> str:

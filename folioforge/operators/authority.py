@@ -46,19 +46,20 @@ def name_variants(zones: Column) -> Column:
 
 def with_honorifics(variants: Column) -> Column:
     """The variants and, after them, each with one honorific abbreviated (whole words, any case); each once."""
-    def shortened(term: str, short: str) -> Column:
-        with_term = F.filter(variants, lambda v: F.contains(F.lower(v), F.lit(term)))
-        return F.transform(with_term, lambda v: F.regexp_replace(v, rf"(?iuU)\b{term}\b", short))
+    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(s).alias("short")) for t, s in HONORIFICS])
 
-    more = [shortened(term, short) for term, short in HONORIFICS]
-    return F.array_distinct(F.concat(variants, *more))
+    def each(v: Column) -> Column:
+        holds = F.filter(table, lambda h: F.contains(F.lower(v), h["term"]))
+        return F.transform(holds, lambda h: F.regexp_replace(v, F.concat(F.lit(r"(?iuU)\b"), h["term"], F.lit(r"\b")), h["short"]))
+
+    return F.array_distinct(F.concat(variants, F.flatten(F.transform(variants, each))))
 
 
 def person_variants(records: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """(ark, variant, ord): the names under which each person's ARK is known: those of its own record, else those
     kept in a store (ark, variant, ord)."""
-    own = records.select("row_idx", R.clean_ark(F.col("ark")).alias("ark"), with_honorifics(name_variants(F.col("zones"))).alias("v")).filter("ark is not null and size(v) > 0")
-    last = own.groupBy("ark").agg(F.max_by("v", "row_idx").alias("v"))
+    own = records.select("row_idx", R.clean_ark(F.col("ark")).alias("ark"), name_variants(F.col("zones")).alias("v")).filter("ark is not null and size(v) > 0")
+    last = own.groupBy("ark").agg(F.max_by("v", "row_idx").alias("own")).select("ark", with_honorifics(F.col("own")).alias("v"))
     local = last.select("ark", F.posexplode("v").alias("ord", "variant"))
     if store is None:
         return local.select("ark", "variant", "ord")

@@ -71,7 +71,11 @@ class Catalogue:
 
 
 def query(f: Callable[[Catalogue], DataFrame]) -> Callable[[Catalogue], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, folder: f(Catalogue(spark, folder))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        out = f(Catalogue(spark, folder))
+        return out.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -503,7 +507,7 @@ def agent_names(c):
 
 @query
 def decorate_text(c):
-    texts = c.curated.select("id", joined(F.transform(R.values(c.z, "700", "3"), F.trim)).alias("text")).filter("text like 'ark:%' and text not like '%|%'")
+    texts = c.curated.select("id", joined(F.transform(R.values(c.z, "700", "3"), lambda v: F.trim(v))).alias("text")).filter("text like 'ark:%' and text not like '%|%'")
     return labels.decorate(texts, "text", labels.ark_labels(c.everything), "id")
 
 
@@ -527,7 +531,7 @@ def name_variants(c):
 
 @query
 def honorific_variants(c):
-    return c.curated.select("id", F.explode(authority.with_honorifics(authority.name_variants(c.z))).alias("variant"))
+    return c.curated.select("id", authority.name_variants(c.z).alias("own")).filter("size(own) > 0").select("id", F.explode(authority.with_honorifics(F.col("own"))).alias("variant"))
 
 
 @query
@@ -555,7 +559,7 @@ def ark_sources(c):
 
 @query
 def dedupe_ordered(c):
-    kept = F.array_distinct(F.filter(F.transform("clustered_arks", F.trim), lambda a: a != ""))
+    kept = F.array_distinct(F.filter(F.transform("clustered_arks", lambda v: F.trim(v)), lambda a: a != ""))
     return c.clusters.select("cluster_id", F.posexplode(kept).alias("ord", "ark")).distinct()
 
 
@@ -598,18 +602,27 @@ def _titles(c: Catalogue) -> DataFrame:
 
 
 def _titles_by_name(c: Catalogue) -> DataFrame:
-    return _titles(c).select("id", "title", F.lit(None).cast("string").alias("ark"), F.explode("variants").alias("variant"))
+    """Titles with the names of known persons, and those that titles themselves state after `par`, that share
+    their longest word with them: the word is the join key, so a title meets only names that may stand in it."""
+    stated = E.of_type(c.curated, E.WORK).select(F.explode(F.regexp_extract_all(R.first(c.z, "150", "a"), F.lit(r"\bpar (\p{Lu}\p{L}+ \p{Lu}\p{L}+)"), F.lit(1))).alias("variant")).select(F.lit("").alias("ark"), "variant")
+    known = authority.person_variants(c.everything).select("ark", "variant")
+    names = known.unionByName(stated).distinct().withColumn("w", T.word_tokens(F.col("variant")))
+    longest = F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    keyed = names.filter("size(w) > 1").select("ark", "variant", longest.alias("word"))
+    titles = E.of_type(c.curated, E.WORK).select("id", R.first(c.z, "150", "a").alias("title")).filter("title <> ''")
+    words = titles.select("id", "title", F.explode(F.array_distinct(T.word_tokens(F.col("title")))).alias("word"))
+    return words.join(keyed, "word").select("id", "title", "ark", "variant")
 
 
 @query
 def detect_hits(c):
-    return detection.find_names(_titles_by_name(c), least=0.0).select("id", "variant", "score", "start", "end", "confidence")
+    return detection.find_names(_titles_by_name(c), least=0.0).select("id", "ark", "variant", "score", "start", "end", "confidence")
 
 
 @query
 def detect_contamination(c):
-    """At the usual thresholds no name reaches the report, as separators never stand in matching forms; 0.4 shows what is there."""
-    return detection.find_names(_titles_by_name(c), least=0.4, high=0.85).select("id", "variant", "score", "snippet", "confidence")
+    """At the usual thresholds no name reaches the report, as separators never stand in matching forms; 0.3 shows what is there."""
+    return detection.find_names(_titles_by_name(c), least=0.3, high=0.85).select("id", "ark", "variant", "score", "snippet", "confidence")
 
 
 @query
