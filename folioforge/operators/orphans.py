@@ -59,8 +59,8 @@ def find_orphans(refs: DataFrame, records: DataFrame, heavy_share: int = 512) ->
     null period can't be compared and only counts as missing or deleted. References that stand twice
     are reported once.
     """
-    refs = materialize(refs.filter("key is not null"), "refs")
-    records = materialize(records, "records")
+    refs = materialize(refs.filter("key is not null").select("src_table", "src_row", "kind", "key", "period"), "refs")
+    records = materialize(records.select("kind", "key", "first_period", "deleted"), "records")
     pairs = materialize(refs.groupBy("kind", "key", "period").agg(F.count(F.lit(1)).alias("n")), "pairs")
     total = pairs.agg(F.sum("n")).first()[0] or 0
     heavy = F.col("n") > max(total / heavy_share, 1000)

@@ -56,9 +56,13 @@ def split_record(line: str) -> list[str]:
 
 def cheapest_edits(line: str, fields: int = 3) -> tuple[int, list[str]] | None:
     """(cost, edits) of the cheapest parse of a record as so many fields, or None if line breaks
-    outside of quotes leave none. Ties go to deletions first, then to the earlier state."""
+    outside of quotes leave none. Among parses of one cost, that with the later edits counts: what stands before
+    an error is taken as meant."""
     n_states = 4 * fields
-    far = 1 << 30
+    far = 1 << 100
+    # An edit costs one; the later it stands, the smaller a fraction is added.
+    unit = len(line) + 2
+    edit = lambda at: unit * unit + (unit - at)
     tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(line)]
 
     def step(state: int, kind: str) -> int:
@@ -84,8 +88,8 @@ def cheapest_edits(line: str, fields: int = 3) -> tuple[int, list[str]] | None:
                 if cost[s] < far:
                     for k in ('"', ";"):
                         to = moves[k][s]
-                        if to >= 0 and to != s and cost[s] + 1 < cost[to]:
-                            cost[to], how[to], changed = cost[s] + 1, (how[s], f"insert {k} at {at}"), True
+                        if to >= 0 and to != s and cost[s] + edit(at) < cost[to]:
+                            cost[to], how[to], changed = cost[s] + edit(at), (how[s], f"insert {k} at {at}"), True
             if not changed:
                 return
 
@@ -100,8 +104,8 @@ def cheapest_edits(line: str, fields: int = 3) -> tuple[int, list[str]] | None:
             c = cost[s]
             if c >= far:
                 continue
-            if kind in '";' and c + 1 < new[s]:
-                new[s], new_how[s] = c + 1, (how[s], f"delete {kind} at {at}")
+            if kind in '";' and c + edit(at) < new[s]:
+                new[s], new_how[s] = c + edit(at), (how[s], f"delete {kind} at {at}")
             to = move[s]
             if to >= 0 and c < new[to]:
                 new[to], new_how[to] = c, how[s]
@@ -115,7 +119,7 @@ def cheapest_edits(line: str, fields: int = 3) -> tuple[int, list[str]] | None:
     while chain:
         chain, edit = chain
         edits.append(edit)
-    return cost[best], edits[::-1]
+    return len(edits), edits[::-1]
 
 
 def normal_type(kind: str) -> str:

@@ -24,8 +24,12 @@ def normal_header(name: str) -> str:
 def resolve_headers(columns: list[str]) -> dict[str, str]:
     """Required column -> the first column of that normal name; KeyError names the columns there are."""
     found: dict[str, str] = {}
-    for c in columns:
-        found.setdefault(normal_header(c), c)
+    for i, c in enumerate(columns):
+        name = normal_header(c)
+        # Spark tells repeated headers apart by their places.
+        if name not in REQUIRED and name.endswith(str(i)) and name.removesuffix(str(i)) in REQUIRED:
+            name = name.removesuffix(str(i))
+        found.setdefault(name, c)
     missing = [r for r in REQUIRED if r not in found]
     if missing:
         raise KeyError(f"no column {', '.join(missing)} among {', '.join(columns)}")
