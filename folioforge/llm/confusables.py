@@ -69,7 +69,7 @@ def _run(select: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         con = duckdb.connect(config={"threads": 1})
         for batch in batches:
             con.register("batch", pa.Table.from_batches([batch]))
-            yield from con.execute(f"SELECT {select} FROM batch").to_arrow_table().to_batches()
+            yield from con.sql(f"SELECT {select} FROM batch").to_arrow_table().to_batches()
             con.unregister("batch")
 
     return run
@@ -96,5 +96,6 @@ def canonical_texts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def same_look(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """The rows of pairs whose two texts differ in code points but look the same. Null matches nothing."""
     differ = pairs.filter(F.col(f"`{left}`") != F.col(f"`{right}`"))
-    both = canonical_texts(differ, {left: "_left", right: "_right"})
-    return both.filter("_left = _right").drop("_left", "_right")
+    one, two = (next(n for i in range(len(pairs.columns) + 2) if (n := f"_{side}{i}") not in pairs.columns) for side in ("left", "right"))
+    both = canonical_texts(differ, {left: one, right: two})
+    return both.filter(F.col(one) == F.col(two)).drop(one, two)

@@ -186,33 +186,41 @@ def _densest(covered: np.ndarray, plain_word: np.ndarray) -> int:
 def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int = 6) -> tuple[int, float]:
     """(words of the longest run of the item found in the document, formulas aside; share of its words found in stretches)."""
     segments: list[tuple[int, int, int, int, set[int]]] = []
+    active: list[tuple[int, int, int, int, set[int]]] = []  # those that reach as far as the hit at hand
     for d, i in sorted(hits):
-        if any(s[0] <= i <= s[1] and s[2] <= d <= s[3] and abs((d - s[2]) - (i - s[0])) <= 6 for s in segments):
+        active = [s for s in active if s[3] >= d]
+        if any(s[0] <= i <= s[1] and s[2] <= d and abs((d - s[2]) - (i - s[0])) <= 6 for s in active):
             continue
         found: set[int] = set()
         d1, i1 = _extend(doc, it.tokens, d, i, 1, found)
         d0, i0 = _extend(doc, it.tokens, d - 1, i - 1, -1, found)
         if len(found) >= least:
             segments.append((min(i0, i), max(i1, i), min(d0, d), max(d1, d), found))
+            active.append(segments[-1])
     if not segments:
         return 0, 0.0
-    segments.sort()
+    segments.sort(key=lambda s: s[:4])
     best, plain_word = 0, ~it.formula
     all_found = np.zeros(it.n_words, bool)
-    # Chains of segments that follow each other in the item; apart in the document only where a sentence ends.
-    chains: list[np.ndarray] = []
-    for n, s in enumerate(segments):
+    # Chains of segments that follow each other in the item: right behind each other in the document as well, or
+    # apart where a sentence of the item ends. Of chains that end at the same word, the longest is carried on.
+    by_place: dict[int, np.ndarray] = {}
+    by_word: dict[int, tuple[int, np.ndarray]] = {}
+    for s in segments:
         covered = np.zeros(it.n_words, bool)
         covered[[it.word[i] for i in s[4]]] = True
         first, last = it.word[s[0]], it.word[s[1]]
-        for prev, before in zip(segments[:n], chains):
-            end = it.word[prev[1]]
-            near = 0 <= s[2] - prev[3] - 1 <= 4
-            sentence = any(w in it.ends for w in range(max(0, end - 1), first + 1))
-            if -3 <= first - end - 1 <= 3 and last > end and (near or sentence):
-                covered = covered | before
-        chains.append(covered)
+        before = [by_place[p] for p in range(s[2] - 5, s[2]) if p in by_place]
+        for end in range(first - 4, min(first + 3, last)):
+            if end in by_word and any(w in it.ends for w in range(max(0, end - 1), first + 1)):
+                before.append(by_word[end][1])
+        for b in before:
+            if -3 <= first - int(np.flatnonzero(b)[-1]) - 1 <= 3:
+                covered = covered | b
+        by_place[s[3]] = covered
         words = _densest(covered, plain_word)
+        if last not in by_word or words > by_word[last][0]:
+            by_word[last] = (words, covered)
         best = max(best, words)
         if words >= least:
             all_found |= covered

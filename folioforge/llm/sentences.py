@@ -178,18 +178,22 @@ def places(text: str, start: int, end: int) -> tuple[list[Place], tuple[str, str
     marks = list(_MARK.finditer(text, start, end))
     pair: dict[int, int] = {}
     stack: list[int] = []
+    waiting: Counter = Counter()  # how many open marks wait for a closing one
     for i, m in enumerate(marks):
         ch = m.group()
         top = marks[stack[-1]].group() if stack else ""
         if stack and _PAIRS.get(top) == ch:
             pair[stack.pop()] = i
+            waiting[ch] -= 1
         elif ch in _OPENERS:
             stack.append(i)
-        elif ch in _CLOSERS:  # closes an outer one, if any: those in between stay open and don't count
-            for k in range(len(stack) - 1, -1, -1):
-                if _PAIRS[marks[stack[k]].group()] == ch:
-                    pair[stack[k]] = i
-                    del stack[k:]
+            waiting[_PAIRS[ch]] += 1
+        elif ch in _CLOSERS and waiting[ch]:  # closes an outer one: those in between never close and don't count
+            while True:
+                k = stack.pop()
+                waiting[_PAIRS[marks[k].group()]] -= 1
+                if _PAIRS[marks[k].group()] == ch:
+                    pair[k] = i
                     break
     close = {j: i for i, j in pair.items()}
     out: list[Place] = []
