@@ -18,25 +18,28 @@ from folioforge.session import materialize
 KEYS = ["c015", "c700", "title_key"]
 
 
-def work_groups(works: DataFrame) -> DataFrame:
-    """(c015, c700, title_key, n, first_row, key_row) of groups of two works and more. key_row is the first row of the
-    works of (c015, c700): clusters come in order of (key_row, first_row). Works without key or title are in none."""
+def work_anchors(works: DataFrame) -> DataFrame:
+    """(c015, c700, title_key, anchor_id, anchor_ark, n, first_row, key_row) of each group of two works and more. key_row is
+    the first row of the works of (c015, c700): clusters come in order of (key_row, first_row). Works without key or
+    title are in none. One aggregation of the works; the second one only sees groups."""
     able = works.filter("c015 is not null and c700 is not null and title_key <> ''")
-    groups = able.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row"))
+    best = F.min_by(F.struct("id", "ark"), F.struct("suffix", "id", "row_idx"))
+    groups = able.groupBy(*KEYS).agg(best.alias("a"), F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row"))
+    # A join, not a window: the groups of a prolific author must not meet in one task.
+    groups = materialize(groups, "groups")
     keys = groups.groupBy("c015", "c700").agg(F.min("first_row").alias("key_row"))
-    return groups.filter("n > 1").join(keys, ["c015", "c700"])
+    return groups.filter("n > 1").join(keys, ["c015", "c700"]).select(*KEYS, F.col("a.id").alias("anchor_id"), F.col("a.ark").alias("anchor_ark"), "n", "first_row", "key_row")
 
 
-def work_anchors(works: DataFrame) -> DataFrame:
-    """(c015, c700, title_key, anchor_id, anchor_ark, cluster_ord_key, cluster_ord_title) of each cluster."""
-    able = works.filter("c015 is not null and c700 is not null and title_key <> ''")
-    best = able.groupBy(*KEYS).agg(F.min_by(F.struct("id", "ark"), F.struct("suffix", "id", "row_idx")).alias("a"))
-    return best.join(work_groups(works), KEYS).select(*KEYS, F.col("a.id").alias("anchor_id"), F.col("a.ark").alias("anchor_ark"), "key_row", "first_row", "n")
+def work_groups(works: DataFrame) -> DataFrame:
+    """(c015, c700, title_key, n, first_row, key_row) of groups of two works and more."""
+    return work_anchors(works).drop("anchor_id", "anchor_ark")
 
 
 def cluster_members(works: DataFrame) -> DataFrame:
     """(anchor_id, anchor_ark, member_id, member_ark, member_row, key_row, first_row): one row per clustered work other
     than its anchor; a missing ark of a member is ''. Groups of any size stay spread over their rows."""
+    works = materialize(works, "works")  # narrow rows, read for the groups and for their members
     joined = works.join(work_anchors(works), KEYS).filter("id <> anchor_id")
     return joined.select("anchor_id", "anchor_ark", F.col("id").alias("member_id"), F.coalesce("ark", F.lit("")).alias("member_ark"), F.col("row_idx").alias("member_row"), "key_row", "first_row")
 
@@ -55,6 +58,7 @@ def expression_pairs(records: DataFrame) -> DataFrame:
     members = cluster_members(E.work_rows(records))
     one, two = E.signature(F.col("zones"))
     signed = E.of_type(records, E.EXPRESSION).select("id", F.explode(one).alias("s051"), F.col("zones")).select("id", "s051", F.explode(two).alias("s041"))
+    members = materialize(members, "members")
     owned = E.expression_works(records).withColumnRenamed("row_idx", "expr_row")
     anchor_side = (
         members.select("anchor_id", "anchor_ark", "key_row", "first_row").distinct().join(owned.withColumnRenamed("work_ark", "anchor_ark"), "anchor_ark").select("anchor_id", "key_row", "first_row", F.col("id").alias("a_id"), F.col("ark").alias("a_ark"), F.struct("expr_row", "ord").alias("a_ord"))

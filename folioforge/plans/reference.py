@@ -22,6 +22,11 @@ from folioforge.sources.arks import distinct_in_order, found_arks
 from folioforge.sources.csv_entities import with_updates
 from folioforge.sources.tables import table
 
+#: Queries that read the parsed records more than twice.
+PARSED_ONCE = frozenset(
+    "cluster_expressions expr_pairs detect_clusters expression_groups independent_expressions coverage is_clustered unclustered_works work_counts primary_expression work_list "
+    "agent_names breadcrumbs decorate_text merge_updates export_curated title_key clean_title detect_hits detect_contamination variant_spans parent_entity first_child original_indexes".split()
+)
 RUN_DATE = "2026-01-31"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 class Catalogue:
     """The tables of a folder, as the operators take them."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, keep: bool = False) -> None:
+        self.keep = keep  # whether records are parsed once and written, for queries that read them several times
         self.rows = table(spark, folder, "test_honorific")
         self.authorities = table(spark, folder, "authority_core")
         self.edges = table(spark, folder, "entitelrm_entitelrm")
@@ -38,13 +44,17 @@ class Catalogue:
         self.variants = table(spark, folder, "nes_variant")
         self.z = F.col("zones")
 
-    @property
+    @cached_property
     def curated(self) -> DataFrame:
-        return E.index_records(E.last_rows(self.rows))
+        return self._parsed(E.last_rows(self.rows), "curated")
 
-    @property
+    @cached_property
     def original(self) -> DataFrame:
-        return E.index_records(E.first_rows(self.rows))
+        return self._parsed(E.first_rows(self.rows), "original")
+
+    def _parsed(self, rows: DataFrame, name: str) -> DataFrame:
+        df = E.index_records(rows)
+        return materialize(df, name) if self.keep else df
 
     @property
     def everything(self) -> DataFrame:
@@ -72,7 +82,7 @@ class Catalogue:
 
 def query(f: Callable[[Catalogue], DataFrame]) -> Callable[[Catalogue], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        out = f(Catalogue(spark, folder))
+        out = f(Catalogue(spark, folder, f.__name__ in PARSED_ONCE))
         return out.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
 
     QUERIES[f.__name__] = run
