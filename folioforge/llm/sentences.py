@@ -348,13 +348,20 @@ def train(texts: DataFrame, min_share: float = 1e-5, least: int = 3, rounds: int
         for x, _, b, nb in by_kind.get("h", []):
             new.boundary[x] = clip((b + 1) / (b + nb + 2))
         for x, y, b, nb in by_kind.get("l", []):
-            # The ends of paragraphs are evidence too: a left side that never ends one hardly ends a sentence.
             seen, share = b + nb, min(1.0, inner * ends[x] / (b + nb))
-            new.boundary[x] = clip((b + weight * (share + new.boundary[y])) / (seen + 2 * weight))
+            p = clip((b + weight * (share + new.boundary[y])) / (seen + 2 * weight))
+            # Paragraphs' ends bound it: a left side that ends none of them, though it stands often, ends few sentences.
+            # What follows it may say otherwise; then its odds are lowered, more in each round. Question and
+            # exclamation marks abbreviate nothing and aren't bounded.
+            most = seen * min(1.0, inner * (ends[x] + 3) / seen)
+            if b > most and x[-1] not in "?!؟;;":
+                old = min(model.boundary.get(x, p), p)
+                p = 1 / (1 + (1 - old) / old * (b / most) ** 2)
+            new.boundary[x] = max(p, 1e-9)
         all_b = sum(b for _, _, b, _ in by_kind.get("r", []))
         opened: Counter = Counter(starts)
-        for x, _, b, _ in by_kind.get("r", []):
-            opened[x] += b
+        for x, _, b, nb in by_kind.get("r", []):
+            opened[x] += min(b, inner * (starts.get(x, 0) + 3))  # so do their starts
         new.opens = {k: (v + 0.01) / (all_b + n_starts) for k, v in opened.items()}
         all_nb = sum(nb for _, _, _, nb in by_kind.get("r", []))
         new.follows = {x: (nb + 0.01) / (all_nb + 1) for x, _, _, nb in by_kind.get("r", [])}
