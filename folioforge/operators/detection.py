@@ -57,6 +57,17 @@ def occurrences(title: str, variant: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        mapped = [folded_map(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in mapped], pa.string()), pa.array([m[1] for m in mapped], pa.list_(pa.int32()))], names=["id", "form", "places"])
+
+
+def folded_maps(titles: DataFrame) -> DataFrame:
+    """(id, form, places) of titles (id, title): the matching form and the place of each of its characters."""
+    return titles.filter("title is not null").select(F.col("id").cast("string"), "title").mapInArrow(_map, "id string, form string, places array<int>")
+
+
 def context_score(norm: str, start: int, end: int) -> float:
     """How likely a name at this place is a statement of responsibility."""
     near = norm[max(0, start - 32) : end + 32]

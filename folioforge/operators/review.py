@@ -170,6 +170,12 @@ def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("date", F.when(F.col("accepted"), F.col("date")))
 
 
+def apply_to_expressions(expressions: DataFrame, items: DataFrame) -> DataFrame:
+    """The clustered expressions with `accepted`: those of a rejected item's work are rejected with it."""
+    rejected = items.filter("not accepted").select("anchor_id", F.col("item_ark").alias("work_ark"), F.lit(False).alias("_a")).distinct()
+    return expressions.filter("role = 'clustered'").join(rejected, ["anchor_id", "work_ark"], "left").withColumn("accepted", F.coalesce("_a", F.lit(True))).drop("_a")
+
+
 def primary_expressions(expressions: DataFrame) -> DataFrame:
     """(anchor_id, work_ark, expression_id): the first expression of each work in a cluster: the anchor's own first, then
     clustered, then independent ones."""

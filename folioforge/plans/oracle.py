@@ -171,9 +171,7 @@ ser_z AS (SELECT z.row_idx, z.id, z.zp, '{{"code": "' || {_ESC('z.zcode')} || '"
   FROM c_zone z LEFT JOIN c_sub s USING (row_idx, zp) GROUP BY z.row_idx, z.id, z.zp, z.zcode),
 ser AS (SELECT row_idx, any_value(id) AS id, '{{"zones": [' || string_agg(t, ', ' ORDER BY zp) || ']}}' AS t FROM ser_z GROUP BY row_idx)"""
 
-SQL: dict[str, str] = {
-    "p6_found": with_(A) + " SELECT row_idx, CAST(zp AS INTEGER) AS zone_pos, CAST(sp AS INTEGER) AS sub_pos FROM a_sub",
-    "p3_found": with_(A, _model("k", "SELECT CAST(id_entitelrm AS BIGINT) AS row_idx, id_entitelrm, type_entite, intermarc FROM authority_core")) + f""",
+_ORPHANS = with_(A, _model("k", "SELECT CAST(id_entitelrm AS BIGINT) AS row_idx, id_entitelrm, type_entite, intermarc FROM authority_core")) + f""",
 known AS (SELECT id_entitelrm AS id, min(loaded_at) AS first, bool_or(deleted_at IS NOT NULL) AS gone FROM (SELECT id_entitelrm, loaded_at, deleted_at FROM test_honorific UNION ALL SELECT id_entitelrm, loaded_at, NULL FROM authority_core) GROUP BY id_entitelrm),
 arks AS (SELECT DISTINCT {clean('ark')} AS ark, id FROM (SELECT ark, id FROM a_rec UNION ALL SELECT ark, id FROM k_rec) WHERE {clean('ark')} IS NOT NULL),
 by_ark AS (SELECT ark, min(first) AS first, bool_or(gone) AS gone FROM arks JOIN known USING (id) GROUP BY ark),
@@ -181,8 +179,13 @@ ref AS (SELECT DISTINCT 'test_honorific' AS src_table, s.row_idx AS src_row, {cl
   UNION SELECT 'entitelrm_entitelrm', edge_id, CAST(id_entitelrm_source AS VARCHAR), loaded_at, false FROM entitelrm_entitelrm WHERE id_entitelrm_source IS NOT NULL
   UNION SELECT 'entitelrm_entitelrm', edge_id, CAST(id_entitelrm_destination AS VARCHAR), loaded_at, false FROM entitelrm_entitelrm WHERE id_entitelrm_destination IS NOT NULL
   UNION SELECT 'detection_record', detection_id, id_entitelrm, detected_at, false FROM detection_record WHERE id_entitelrm IS NOT NULL),
-met AS (SELECT r.*, coalesce(b.first, k.first) AS first, coalesce(b.gone, k.gone) AS gone FROM ref r LEFT JOIN by_ark b ON r.is_ark AND b.ark = r.ref LEFT JOIN known k ON NOT r.is_ark AND k.id = r.ref)
-SELECT src_table, src_row, ref, strftime(seen AT TIME ZONE 'UTC', '%Y-%m') AS period FROM met WHERE gone IS NULL OR gone OR strftime(first AT TIME ZONE 'UTC', '%Y-%m') > strftime(seen AT TIME ZONE 'UTC', '%Y-%m')""",
+met AS (SELECT r.*, coalesce(b.first, k.first) AS first, coalesce(b.gone, k.gone) AS gone FROM ref r LEFT JOIN by_ark b ON r.is_ark AND b.ark = r.ref LEFT JOIN known k ON NOT r.is_ark AND k.id = r.ref),
+verdict AS (SELECT src_table, src_row, ref, strftime(seen AT TIME ZONE 'UTC', '%Y-%m') AS period, CASE WHEN gone IS NULL THEN 'missing' WHEN gone THEN 'deleted' WHEN strftime(first AT TIME ZONE 'UTC', '%Y-%m') > strftime(seen AT TIME ZONE 'UTC', '%Y-%m') THEN 'later' END AS reason FROM met)"""
+
+SQL: dict[str, str] = {
+    "p6_found": with_(A) + " SELECT row_idx, CAST(zp AS INTEGER) AS zone_pos, CAST(sp AS INTEGER) AS sub_pos FROM a_sub",
+    "p3_found": _ORPHANS + " SELECT src_table, src_row, ref, period FROM verdict WHERE reason IS NOT NULL",
+    "p3_report": _ORPHANS + " SELECT src_table, period, reason, count(*) AS n FROM verdict WHERE reason IS NOT NULL GROUP BY ALL",
     "scan_entities": "SELECT row_idx, id_entitelrm, type_entite, length(intermarc) AS n_chars FROM test_honorific",
     "parse_record": with_(A) + " SELECT row_idx, zp AS zone_pos, sp AS sub_pos, zcode AS zone_code, code, v AS valeur FROM a_sub",
     "record_zones": with_(A) + " SELECT z.row_idx, z.zp AS zone_pos, z.zcode AS code, count(s.sp) AS n_subfields FROM a_zone z LEFT JOIN a_sub s USING (row_idx, zp) GROUP BY ALL",
@@ -275,6 +278,11 @@ SELECT id, name, min(ord) AS ord FROM named WHERE name IS NOT NULL GROUP BY id,
     "ark_list": "SELECT DISTINCT trim(ark) AS ark FROM nes_variant WHERE trim(ark) <> ''",
     "ark_sources": "SELECT ark, min(source) AS source FROM (SELECT trim(ark) AS ark, CAST(0 AS BIGINT) AS source FROM nes_variant UNION ALL SELECT trim(work_ark), 1 FROM detection_record) WHERE ark <> '' GROUP BY ark",
     "dedupe_ordered": "SELECT DISTINCT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY p) - 1 AS ord, ark FROM (SELECT cluster_id, min(p) AS p, trim(a[p]) AS ark FROM (SELECT DISTINCT cluster_id, clustered_arks AS a FROM cluster_result), unnest(range(1, len(a) + 1)) t(p) WHERE trim(a[p]) <> '' GROUP BY cluster_id, trim(a[p]))",
+    "guess_delimiter": "SELECT file_name, CASE WHEN length(line) - length(replace(line, ',', '')) > length(line) - length(replace(line, ';', '')) THEN ',' ELSE ';' END AS delimiter FROM raw_entity_line WHERE line_no = 1",
+    "folded_map": f"SELECT detection_id, {match_form('title')} AS form, length({match_form('title')}) AS n FROM detection_record WHERE title IS NOT NULL",
+    "name_variants": with_(C, variants("c")) + " SELECT id, v AS variant FROM c_form",
+    "apply_work_decisions": with_(C, O, CL, ITEMS) + " SELECT anchor_id, ord, item_ark, item_id IS NOT NULL AS accepted, CASE WHEN item_id IS NOT NULL THEN date END AS date FROM item",
+    "apply_expression_decisions": with_(*REVIEW) + " SELECT anchor_id, expression_id, work_ark, NOT EXISTS (SELECT 1 FROM item i WHERE i.anchor_id = every.anchor_id AND i.item_ark = every.work_ark AND i.item_id IS NULL) AS accepted FROM every WHERE role = 'clustered'",
     "fold_diacritics": f"SELECT detection_id, {fold('title')} AS folded FROM detection_record WHERE title IS NOT NULL",
     "normalize_match": f"SELECT detection_id, {match_form('title')} AS form FROM detection_record WHERE title IS NOT NULL",
     "word_tokens": f"SELECT detection_id, len(list_filter(string_split({match_form('title')}, ' '), lambda x: x <> '')) AS n FROM detection_record WHERE title IS NOT NULL",

@@ -19,12 +19,12 @@ from folioforge.operators import record as R
 from folioforge.operators.flatten import flatten_subfields, flatten_zones
 from folioforge.session import materialize
 from folioforge.sources.arks import distinct_in_order, found_arks
-from folioforge.sources.csv_entities import with_updates
+from folioforge.sources.csv_entities import delimiter_of, with_updates
 from folioforge.sources.tables import table
 
 #: Queries that read the parsed records more than twice.
 PARSED_ONCE = frozenset(
-    "cluster_expressions expr_pairs detect_clusters expression_groups independent_expressions coverage is_clustered unclustered_works work_counts primary_expression work_list "
+    "cluster_expressions expr_pairs detect_clusters apply_work_decisions apply_expression_decisions expression_groups independent_expressions coverage is_clustered unclustered_works work_counts primary_expression work_list "
     "agent_names breadcrumbs decorate_text merge_updates export_curated title_key clean_title detect_hits detect_contamination variant_spans parent_entity first_child original_indexes".split()
 )
 RUN_DATE = "2026-01-31"
@@ -42,6 +42,7 @@ class Catalogue:
         self.clusters = table(spark, folder, "cluster_result")
         self.detections = table(spark, folder, "detection_record")
         self.variants = table(spark, folder, "nes_variant")
+        self.lines = table(spark, folder, "raw_entity_line")
         self.z = F.col("zones")
 
     @cached_property
@@ -398,6 +399,21 @@ def independent_expressions(c):
     return c.expressions.filter("role = 'independent'").select("anchor_id", "expression_id", "expression_ark", "work_ark")
 
 
+def _decided(c: Catalogue) -> DataFrame:
+    """Items with decisions: links to records that nobody knows are rejected."""
+    return review.apply_decisions(c.items, c.items.filter("item_id is null").select("anchor_id", "item_ark", F.lit(False).alias("accepted")).distinct())
+
+
+@query
+def apply_work_decisions(c):
+    return _decided(c).select("anchor_id", "ord", "item_ark", "accepted", "date")
+
+
+@query
+def apply_expression_decisions(c):
+    return review.apply_to_expressions(c.expressions, _decided(c)).select("anchor_id", "expression_id", "work_ark", "accepted")
+
+
 @query
 def ark_index(c):
     return review.ark_index(c.original)
@@ -536,7 +552,7 @@ def responsible_arks(c):
 
 @query
 def name_variants(c):
-    return c.curated.select("id", F.posexplode(authority.name_variants(c.z)).alias("ord", "variant"))
+    return c.curated.select("id", F.explode(authority.name_variants(c.z)).alias("variant"))
 
 
 @query
@@ -573,6 +589,11 @@ def dedupe_ordered(c):
     return c.clusters.select("cluster_id", F.posexplode(kept).alias("ord", "ark")).distinct()
 
 
+@query
+def guess_delimiter(c):
+    return c.lines.filter("line_no = 1").select("file_name", delimiter_of(F.col("line")).alias("delimiter"))
+
+
 # Text functions and detection
 
 
@@ -581,6 +602,12 @@ def fold_diacritics(c):
     return c.detections.filter("title is not null").select("detection_id", T.fold(F.col("title")).alias("folded"))
 
 
+@query
+def folded_map(c):
+    maps = detection.folded_maps(c.detections.select(F.col("detection_id").alias("id"), "title"))
+    return maps.select(F.col("id").cast("long").alias("detection_id"), "form", F.size("places").alias("n"))
+
+
 @query
 def normalize_match(c):
     return c.detections.filter("title is not null").select("detection_id", T.normalize_match(F.col("title")).alias("form"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators.entities import serialize
@@ -41,6 +41,12 @@ def guess_delimiter(first_line: str) -> str:
     return "," if first_line.count(",") > first_line.count(";") else ";"
 
 
+def delimiter_of(line: Column) -> Column:
+    """guess_delimiter as an expression."""
+    times = lambda sign: F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
+    return F.when(times(",") > times(";"), ",").otherwise(";")
+
+
 def read_entities(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """row_idx, id_entitelrm, type_entite, intermarc and the file's other columns. Rows without the three are skipped.
 
