@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from folioforge.llm.names import edit_distance, reach
 
 #: The masks: token positions that count.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 7), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8))
+#: Documents are searched some at a time: so many tokens, with gaps wider than any mask.
+CHUNK, GAP = 200_000, 16
 _TOKEN = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"\S+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\n\s*(?=[^\W\d_])")
@@ -39,12 +42,15 @@ def _drop_table() -> dict[int, str | None]:
 
 
 _TABLE = _drop_table()
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters, look-alikes and words broken at line ends."""
     text = _BROKEN.sub("", text) if "\n" in text else text
-    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).translate(_TABLE).lower()
+    if text.isascii():
+        return text.lower()
+    return _BEYOND.sub(lambda m: m.group().translate(_TABLE), unicodedata.normalize("NFKD", text)).lower()
 
 
 class Item:
@@ -150,19 +156,22 @@ class Index:
             h ^= h >> np.uint64(29)
         return h * np.uint64(0xBF58476D1CE4E5B9), ok
 
-    def hits(self, ids: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """item -> the pairs (document position, item position) where seeds meet."""
-        out: dict[int, set[tuple[int, int]]] = {}
+    def hits(self, ids: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], set[tuple[int, int]]]:
+        """(document, item) -> the pairs (document position, item position) where seeds meet; starts: where documents begin."""
+        out: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for m in range(len(MASKS)):
             h, ok = self.seeds(ids, m)
-            places = np.flatnonzero(ok & self.sieve[h >> np.uint64(44)]) if len(h) else ()
+            places = np.flatnonzero(ok & self.sieve[h >> np.uint64(44)]) if len(h) else np.zeros(0, int)
             if not len(places):
                 continue
             lo = np.searchsorted(self.hashes, h[places], "left")
             hi = np.searchsorted(self.hashes, h[places], "right")
-            for p, a, b in zip(places.tolist(), lo.tolist(), hi.tolist()):
-                for j in range(a, b):
-                    out.setdefault(int(self.item[j]), set()).add((p, int(self.at[j])))
+            met = hi > lo
+            places, lo, hi = places[met], lo[met], hi[met]
+            doc = np.searchsorted(starts, places, "right") - 1
+            for n, p, a, b in zip(doc.tolist(), (places - starts[doc]).tolist(), lo.tolist(), hi.tolist()):
+                for k, i in zip(self.item[a:b].tolist(), self.at[a:b].tolist()):
+                    out.setdefault((n, k), set()).add((p, i))
         return out
 
 
@@ -183,11 +192,27 @@ def _densest(covered: np.ndarray, plain_word: np.ndarray) -> int:
     return int(np.where(good, counted[last + 1] - counted[first], 0).max())
 
 
+#: Seeds that have to meet near one diagonal. Twenty words hold some thirty where one word in eight is wrong and a dozen
+#: where one in four is; a phrase of seven words, as many texts share, holds four.
+SEEDS = 6
+
+
+def _promising(hits: set[tuple[int, int]], n_tokens: int) -> list[tuple[int, int]]:
+    """The hits, in order, that have SEEDS - 1 others near their diagonal; all of them for items too short to hold so many."""
+    if n_tokens < 14:
+        return sorted(hits)
+    if len(hits) < SEEDS:
+        return []
+    band = Counter((d - i) >> 3 for d, i in hits)
+    good = {b for b in band if max(band[b] + band.get(b - 1, 0), band[b] + band.get(b + 1, 0)) >= SEEDS}
+    return sorted(h for h in hits if (h[0] - h[1]) >> 3 in good) if good else []
+
+
 def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int = 6) -> tuple[int, float]:
     """(words of the longest run of the item found in the document, formulas aside; share of its words found in stretches)."""
     segments: list[tuple[int, int, int, int, set[int]]] = []
     active: list[tuple[int, int, int, int, set[int]]] = []  # those that reach as far as the hit at hand
-    for d, i in sorted(hits):
+    for d, i in _promising(hits, len(it.tokens)):
         active = [s for s in active if s[3] >= d]
         if any(s[0] <= i <= s[1] and s[2] <= d and abs((d - s[2]) - (i - s[0])) <= 6 for s in active):
             continue
@@ -236,13 +261,25 @@ def _search(block: list[tuple[int, str]], formulas: dict[int, list[int]], words:
         known = index.ids.get
         for batch in batches:
             docs, found = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = _TOKEN.findall(plain(text))
-                ids = np.fromiter((known(t, 0) for t in tokens), np.uint64, len(tokens))
-                for k, hits in index.hits(ids).items():
-                    run_words, share = longest_run(tokens, items[k], hits)
+            keys, texts = (batch.column(i).to_pylist() for i in range(2))
+            at = 0
+            while at < len(keys):
+                # Some documents at once, with gaps between them that no mask bridges.
+                parts, starts, size = [], [], 0
+                first = at
+                while at < len(keys) and size < CHUNK:
+                    tokens = _TOKEN.findall(plain(texts[at]))
+                    parts.append(tokens)
+                    starts.append(size)
+                    size += len(tokens) + GAP
+                    at += 1
+                ids = np.zeros(size, np.uint64)
+                for tokens, s in zip(parts, starts):
+                    ids[s : s + len(tokens)] = [known(t, 0) for t in tokens]
+                for (n, k), hits in index.hits(ids, np.array(starts)).items():
+                    run_words, share = longest_run(parts[n], items[k], hits)
                     if run_words >= words or share >= whole:
-                        docs.append(key)
+                        docs.append(keys[first + n])
                         found.append((items[k].key, run_words, share))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.float64())],
