@@ -38,9 +38,11 @@ from folioforge.session import materialize
 _PAIRS = {"«": "»", "„": "“", "“": "”", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", '"': '"'}
 _CLOSERS = set(_PAIRS.values())
 _OPENERS = set(_PAIRS)
+_OPEN_SIGNS, _CLOSE_SIGNS = "".join(_OPENERS), "".join(_CLOSERS)
 _STOPS = ".!?…。！？।॥؟۔"
 _THAI = "฀-๿"
 _MARK = re.compile(rf'[{_STOPS};;]+|[«»„“”「」『』《》〈〉()（）\[\]"]|(?<=[{_THAI}0-9])[^\S\n]+(?=[{_THAI}])')
+_IN_THAI = re.compile(f"[{_THAI}]")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -50,6 +52,8 @@ _ENTRY_END = re.compile(r"(?:\d{4}|\bp|\))\.?\s*$|[^.!?…]\s*$")
 #: What a wrapping program doesn't break: up to a space, but not a hard one.
 _CHUNK = re.compile(r"[^ \t]+")
 _ROMAN = re.compile(r"[IVXLCDM]{2,}$")
+_DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"[\d.,/°\-–]*\d[\d.,/°\-–]*")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _BROKEN = re.compile(r"[^\W\d_][-\u2010\u00ad]$")
 _HEADING = re.compile(r"(?:§|[^\W\d_]+) *(?:\d+|[IVXLC]+)\. ")
@@ -69,8 +73,8 @@ def _is_unit(line: str) -> bool:
     """Whether a line is a heading or an entry: one unit whatever it holds."""
     if _ENTRY.match(line):
         return bool(_ENTRY_END.search(line)) or line[0] in "—–•*·▪‣-"
-    last = line.rstrip("".join(_CLOSERS) + "   ")[-1:]
-    return len(line) <= 120 and last not in _STOPS + ";;:," and not re.search(f"[{_THAI}]", line)
+    last = line.rstrip(_CLOSE_SIGNS + "   ")[-1:]
+    return len(line) <= 120 and last not in _STOPS + ";;:," and not _IN_THAI.search(line)
 
 
 def pieces(text: str) -> list[tuple[int, int, bool]]:
@@ -126,7 +130,7 @@ def _right(text: str, at: int, end: int) -> tuple[str, str]:
     if word[0].isdigit():
         after = _FIRST.match(text, m.end() + 1, end)
         return f"9 {after.group().lower() if after and not after.group()[0].isdigit() else ''}", "9"
-    if _CJK.match(word):
+    if word[0] > "\u2fff" and _CJK.match(word):
         return word[0], "cjk"
     if len(word) == 1 and word.isupper() and text[m.end() : m.end() + 1] == ".":
         return "A.", "A."
@@ -138,9 +142,9 @@ def _right(text: str, at: int, end: int) -> tuple[str, str]:
 
 def _before(word: str) -> str:
     """The class of the word before an initial or a numeral."""
-    if any(c.isdigit() for c in word):
+    if not word.isalpha() and _DIGIT.search(word):
         return "9"
-    low = word.lower().lstrip("".join(_OPENERS))
+    low = word.lower().lstrip(_OPEN_SIGNS)
     return low if len(low) <= 6 else "w"
 
 
@@ -148,21 +152,21 @@ def _left(text: str, start: int, at: int, stop: str) -> tuple[str, str]:
     """(key, shape) of the word before a stop at a place."""
     stop = "…" if stop.startswith("..") else stop[0]
     words = text[max(start, at - 60) : at].split()
-    last = words[-1].lstrip("".join(_OPENERS)) if words else ""
+    last = words[-1].lstrip(_OPEN_SIGNS) if words else ""
     if not last:
         return f"|{stop}", f"|{stop}"
     if last[-1] in _CLOSERS:
         return f"{last[-1]}|{stop}", f"{last[-1]}|{stop}"
-    if _CJK.match(last[-1]):
+    if last[-1] > "\u2fff" and _CJK.match(last[-1]):
         return f"cjk|{stop}", f"cjk|{stop}"
-    before = _before(words[-2]) if len(words) > 1 else ""
-    if re.fullmatch(r"[\d.,/°\-–]*\d[\d.,/°\-–]*", last):
-        return f"{before} 9|{stop}", f"9|{stop}"
-    if len(last) == 1:
+    before = lambda: _before(words[-2]) if len(words) > 1 else ""
+    if len(last) == 1 and not last.isdigit():
         key = "A" if last.isupper() else last
-        return f"{before} {key}|{stop}", f"{'A' if last.isupper() else 'a'}|{stop}"
-    if _ROMAN.fullmatch(last):
-        return f"{before} X|{stop}", f"X|{stop}"
+        return f"{before()} {key}|{stop}", f"{'A' if last.isupper() else 'a'}|{stop}"
+    if not last.isalpha() and _NUMBER.fullmatch(last):
+        return f"{before()} 9|{stop}", f"9|{stop}"
+    if last[0] in "IVXLCDM" and _ROMAN.fullmatch(last):
+        return f"{before()} X|{stop}", f"X|{stop}"
     if stop != ".":
         return f"{'Cap' if last[0].isupper() else 'low'}|{stop}", f"{'Cap' if last[0].isupper() else 'low'}|{stop}"
     shape = "Cap" if last[0].isupper() else "low" if last[0].islower() else "word"
@@ -239,7 +243,7 @@ def places(text: str, start: int, end: int) -> tuple[list[Place], tuple[str, str
             at = m.start()
         after_stop = at
         out.append((at, after, left, _right(text, after, end)))
-    if final is None and re.match(f"[{_THAI}]", text[end - 1 : end]):
+    if final is None and _IN_THAI.match(text[end - 1 : end]):
         final = ("thai", "thai")
     return out, final
 
