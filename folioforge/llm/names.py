@@ -6,11 +6,15 @@ letters; tokens that meet in a file are compared). Keys that share a token or ho
 are candidates; their names are then aligned token by token by optimal assignment, which
 permits misprints, initials, abbreviations and bynames.
 
+Every token is filed under itself (own) and under the tokens that it may stand for or be shortened to
+(borrowed). In names that agree all tokens do, so those that meet under no file of at most `common` keys meet
+under a pair of files, and hot files are never joined alone: only names that hold both tokens meet.
+
 Bynames and contracted abbreviations are learned from the names themselves: two tokens that stand for each
 other in the names of several keys, all else being equal, are aliases.
 
-Common tokens (those of more than `common` keys, such as forenames) aren't used as keys alone, so
-the candidates of one token are bounded; names of common tokens only are filed under each pair of them.
+Where only common tokens (of more than `common` keys) stand in full beside an initial, a shortening or a byname, the names
+are linked if the shortened one can stand for one person only: if all that it agrees with are linked otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.components import connected_components
@@ -160,33 +164,57 @@ class Matcher:
         d = edit_distance(a, b, most)
         return float(d) if d <= most else _NEVER
 
-    def align(self, one: list[str], two: list[str], most: float) -> bool:
+    def judge(self, one: list[str], two: list[str], most: float) -> int:
+        """-1 if the names differ, 0 if they agree; if they agree by common tokens only, the sides that are shortened: 1, 2 or both (3)."""
         if len(one) != len(two):
-            return False
+            return -1
         if sorted(one) == sorted(two):
-            return True
+            return 0
         costs = []
         for t in one:
             costs.append([self.cost(t, u) for u in two])
             if min(costs[-1]) > most:
-                return False
+                return -1
         total, place = assign(costs)
         if total > most:
-            return False
-        # Something rare must stand in full on both sides.
-        return any(
-            costs[i][j] in (0.0, 1.0, 2.0) and min(len(one[i]), len(two[j])) >= 4 and (self.keys_of(one[i].rstrip(".")) <= self.common or total == 0)
-            for i, j in enumerate(place)
-        )
+            return -1
+        # Something must stand in full on both sides; if all that does is common, what is shortened may be of several persons.
+        full = [(i, j) for i, j in enumerate(place) if costs[i][j] in (0.0, 1.0, 2.0) and min(len(one[i]), len(two[j])) >= 4]
+        if not full:
+            return -1
+        count = lambda t: self.keys_of(t.rstrip("."))
+        if total == 0 or any(min(count(one[i]), count(two[j])) <= self.common for i, j in full):
+            return 0
+        short = 0
+        for i, j in enumerate(place):
+            if costs[i][j]:
+                a, b = len(one[i].rstrip(".")), len(two[j].rstrip("."))
+                if costs[i][j] >= 1:  # two well established names
+                    return -1
+                aliases = two[j].rstrip(".") in self.aliases(one[i].rstrip("."))
+                if aliases:
+                    a, b = count(one[i]), count(two[j])
+                short |= (a <= b) | (b <= a) << 1
+        return short
 
-    def same(self, one: list[list[str]], two: list[list[str]], most: float = 3.0) -> bool:
+    def align(self, one: list[str], two: list[str], most: float) -> bool:
+        return self.judge(one, two, most) == 0
+
+    def grade(self, one: list[list[str]], two: list[list[str]], most: float = 3.0) -> int:
+        """The best that judge() finds among the forms of two keys: 0, then a side that is shortened, then both; -1 if none agree."""
+        best = -1
         for a in one:
             for b in two:
-                if self.align(a, b, most):
-                    return True
-                if len(a) != len(b) and any(self.align(x, y, most) for x, y in _joined(a, b)):
-                    return True
-        return False
+                for x, y in ((a, b), *(_joined(a, b) if len(a) != len(b) else ())):
+                    found = self.judge(x, y, most)
+                    if found == 0:
+                        return 0
+                    if found > 0:
+                        best = found if best < 0 else min(best, found)
+        return best
+
+    def same(self, one: list[list[str]], two: list[list[str]], most: float = 3.0) -> bool:
+        return self.grade(one, two, most) == 0
 
 
 def _joined(a: list[str], b: list[str]) -> Iterator[tuple[list[str], list[str]]]:
@@ -283,11 +311,12 @@ def _compare(common: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         known = lru_cache(1 << 14)(_read_info)
         matcher = Matcher({}, common)
         for batch in batches:
-            keep = []
+            short = []
             for forms_a, forms_b, info_a, info_b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 matcher.info = known(info_a) | known(info_b)
-                keep.append(matcher.same(names(forms_a), names(forms_b)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                short.append(matcher.grade(names(forms_a), names(forms_b)))
+            graded = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.int32())], names=["a", "b", "short"])
+            yield graded.filter(pa.array([x >= 0 for x in short], pa.bool_()))
 
     return run
 
@@ -312,6 +341,72 @@ def _closed(links: DataFrame, who: DataFrame) -> DataFrame:
     return pairs.unionByName(direct)
 
 
+def _pieces(token: Column, lengths: list[int]) -> Column:
+    """What a token may be shortened to, of the lengths that tokens have: its beginnings, its ends of four letters or more, and for one
+    of four letters those without one of them."""
+    n = F.length(token)
+    sizes = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k < n)
+    ends = F.transform(F.filter(sizes, lambda k: (k >= 4) & (k <= n - 2)), lambda k: F.right(token, k))
+    without = F.when(n == 4, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.transform(sizes, lambda k: F.left(token, k)), ends, without))
+
+
+def _pair_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files of a form of k tokens, as it is and with two neighbouring tokens as one: each common feature of a full token with each
+    feature of another one, by number of tokens; side: the bits of those borrowed, and 4 for tokens read as one."""
+    for batch in batches:
+        keys, files, sides = [], [], []
+        for key, k, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            own = [p for p in parts if p["width"] == 1]
+            readings = [(k, 0, own)]
+            for i in range(k - 1):
+                readings.append((k - 1, 4, [p for p in own if p["pos"] not in (i, i + 1)] + [p for p in parts if p["width"] == 2 and p["pos"] == i]))
+            out = set()
+            for n, joined, held in readings:
+                for p in held:
+                    for f in p["feats"]:
+                        if not f["hot"]:
+                            continue
+                        x = f["feature"], f["borrowed"]
+                        if n == 1:
+                            out.add((n, x[0], "", x[1] | joined))
+                        for q in held:
+                            if q is p:
+                                continue
+                            for g in q["feats"]:
+                                if g["solo"]:
+                                    continue
+                                y = g["feature"], g["borrowed"]
+                                if x[0] == y[0]:
+                                    out |= {(n, x[0], y[0], x[1] | y[1] << 1 | joined), (n, x[0], y[0], y[1] | x[1] << 1 | joined)}
+                                else:
+                                    a, b = sorted((x, y))
+                                    out.add((n, a[0], b[0], a[1] | b[1] << 1 | joined))
+            for n, x, y, side in out:
+                keys.append(key)
+                files.append(xxhash.xxh3_64_intdigest(f"{n}+{x}+{y}") - (1 << 63))
+                sides.append(side)
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(sides, pa.int32()), pa.array(keys, pa.string())], names=["file", "side", "key"])
+
+
+def _clear(graded: DataFrame) -> DataFrame:
+    """The links (a, b) of those graded (a, b, short): all that agree, and shortened names where all that they agree with are linked."""
+    sure = graded.filter("short = 0").select("a", "b")
+    if graded.filter("short > 0").isEmpty():
+        return sure
+    group = materialize(connected_components(sure).select(F.col("node").alias("key"), "root"), "agreeing")
+    weak = graded.filter("short > 0")
+    for side in ("a", "b"):
+        weak = weak.join(group.select(F.col("key").alias(side), F.col("root").alias(f"r_{side}")), side, "left").withColumn(f"r_{side}", F.coalesce(f"r_{side}", side))
+    weak = materialize(weak, "shortened")
+    sides = weak.filter("short % 2 = 1").select(F.col("r_a").alias("r"), F.col("r_b").alias("o")).unionByName(weak.filter("short >= 2").select(F.col("r_b").alias("r"), F.col("r_a").alias("o")))
+    vague = materialize(sides.filter("r <> o").groupBy("r").agg(F.min("o").alias("x"), F.max("o").alias("y")).filter("x <> y").select("r"), "vague")
+    of = lambda side: vague.select(F.col("r").alias(f"r_{side}"), F.lit(True).alias(f"v_{side}"))
+    told = weak.join(of("a"), "r_a", "left").join(of("b"), "r_b", "left")
+    clear = told.filter("not (short % 2 = 1 and v_a is not null) and not (short >= 2 and v_b is not null)").select("a", "b")
+    return sure.unionByName(clear)
+
+
 def link_names(names: DataFrame, common: int = 200, alias_support: int = 2) -> DataFrame:
     """(a, b): the pairs a < b of keys whose names belong to one person or body.
 
@@ -346,23 +441,45 @@ def link_names(names: DataFrame, common: int = 200, alias_support: int = 2) -> D
     info = held.join(tokens, "token").groupBy("key").agg(F.array_join(F.collect_list(F.concat_ws(" ", "token", F.greatest("n", F.lit(1)).cast("string"), "aliases")), "\n").alias("info"))
     known = materialize(profile.join(info, "key", "left"), "known")
 
-    rare = tokens.filter((F.col("n") <= common) & (F.length("token") >= 4) & (F.col("n") > 0)).select("token")
-    near = neighbours(rare).select(F.concat_ws("|", "one", "two").alias("file"), F.explode(F.array("one", "two")).alias("token"))
-    files = rare.select(F.col("token").alias("file"), "token").unionByName(near)
-    filed = held.filter("own").select("key", "token").join(files, "token").select("file", "key")
-    # Names of common tokens only: each pair of them.
-    plain_common = tokens.filter(F.col("n") > common).select("token")
-    pairs_of = F.flatten(F.transform("w", lambda x: F.transform(F.filter("w", lambda y: y > x), lambda y: F.concat(x, F.lit("+"), y))))
-    spread = split.withColumn("form", F.array_join("w", " ")).distinct().select("key", "form", "w", F.explode("w").alias("token")).filter("length(token) >= 4")
-    all_common = spread.join(plain_common.withColumn("is", F.lit(1)), "token", "left").groupBy("key", "form").agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("is", F.lit(0))).alias("c"), F.first("w").alias("w")).filter("k = c")
-    filed = filed.unionByName(all_common.select(F.explode(pairs_of).alias("file"), "key")).distinct()
+    # Features of each token: itself, and (borrowed) what it may stand for. Of tokens that stand for each other the rarer one borrows.
+    real = tokens.filter("n > 0").select("token", "n")
+    full = real.filter("length(token) >= 4").select("token")
+    pairs_of = neighbours(full).unionByName(swaps.select(F.col("t").alias("one"), F.col("u").alias("two"))).filter("one <> two")
+    counted = pairs_of.join(real.toDF("one", "n1"), "one").join(real.toDF("two", "n2"), "two")
+    first_rarer = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("one") > F.col("two")))
+    stands = counted.select(F.when(first_rarer, F.col("one")).otherwise(F.col("two")).alias("token"), F.when(first_rarer, F.col("two")).otherwise(F.col("one")).alias("feature"))
+    lengths = sorted(r[0] for r in real.select(F.length("token")).distinct().collect())
+    initials = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.left(x, F.lit(1)))
+    shorter = tokens.filter("n > 0").select("token", F.explode(F.array_distinct(F.concat(_pieces(F.col("token"), lengths), initials))).alias("feature")).join(real.select(F.col("token").alias("feature")), "feature", "left_semi")
+    features = (
+        real.select("token", F.col("token").alias("feature"), F.lit(0).alias("borrowed"), F.lit(1).alias("full"))
+        .unionByName(stands.select("token", "feature", F.lit(1).alias("borrowed"), F.lit(1).alias("full")))
+        .unionByName(shorter.select("token", "feature", F.lit(1).alias("borrowed"), F.lit(0).alias("full")))
+        .filter("feature <> token or borrowed = 0").groupBy("token", "feature").agg(F.min("borrowed").alias("borrowed"), F.max("full").alias("full"))
+    ).withColumn("full", (F.col("full") == 1) & (F.least(F.length("token"), F.length("feature")) >= 4))
+    features = materialize(features, "features")
+    sized = materialize(
+        features.join(real.select(F.col("token").alias("feature"), F.col("n").alias("size")), "feature")
+        .select("token", "feature", "borrowed", (F.col("full") & (F.col("size") <= common)).alias("solo"), (F.col("full") & (F.col("size") > common)).alias("hot")),
+        "sized",
+    )
+    alone = held.filter("own").select("key", "token").join(sized.filter("solo"), "token").select(F.xxhash64("feature").alias("file"), F.col("borrowed").alias("side"), "key")
+    # The rest: each common feature with each other one of the same form.
+    of_token = sized.groupBy("token").agg(F.collect_list(F.struct("feature", "borrowed", "solo", "hot")).alias("feats"), F.max("hot").alias("hot"))
+    each = split.select("key", F.array_join("w", " ").alias("form"), "w").distinct().withColumn("k", F.size("w"))
+    placed = each.select("key", "form", "k", F.lit(1).alias("width"), F.posexplode("w").alias("pos", "token")).unionByName(
+        each.filter("k > 1").select("key", "form", "k", F.lit(2).alias("width"), F.posexplode(merged).alias("pos", "token"))
+    )
+    parts = placed.join(of_token, "token").groupBy("key", "form", "k").agg(F.collect_list(F.struct("pos", "width", "feats")).alias("parts"), F.max("hot").alias("hot"))
+    paired = parts.filter("hot").select("key", "k", "parts").mapInArrow(_pair_files, "file long, side int, key string")
+    filed = materialize(alone.unionByName(paired).distinct(), "filed")
 
     side = lambda s: known.select(F.col("key").alias(s), F.array_join("forms", "\n").alias(f"forms_{s}"), F.col("info").alias(f"info_{s}"))
     who = known.select("key", "kind", "born", "died")
     card = filed.join(who, "key")
-    other = card.select("file", *(F.col(c).alias(f"_{c}") for c in ("key", "kind", "born", "died")))
+    other = card.select("file", *(F.col(c).alias(f"_{c}") for c in ("side", "key", "kind", "born", "died")))
     agree = lambda c: (F.col(c) == "") | (F.col(f"_{c}") == "") | (F.col(c) == F.col(f"_{c}"))
-    pairs = card.join(other, "file").filter((F.col("key") < F.col("_key")) & agree("kind") & agree("born") & agree("died")).select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct()
+    pairs = card.join(other, "file").filter((F.col("key") < F.col("_key")) & (F.col("side").bitwiseAND(F.col("_side")) == 0) & agree("kind") & agree("born") & agree("died")).select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct()
     both = materialize(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
-    links = both.select("a", "b", "forms_a", "forms_b", "info_a", "info_b").mapInArrow(_compare(common), "a string, b string")
-    return _closed(materialize(links, "links"), who)
+    graded = both.select("a", "b", "forms_a", "forms_b", "info_a", "info_b").mapInArrow(_compare(common), "a string, b string, short int")
+    return _closed(materialize(_clear(materialize(graded, "graded")), "links"), who)

@@ -92,3 +92,16 @@ def test_empty_and_repeated(spark):
 @pytest.mark.parametrize("a,b,same", [("Marie-Louise Sernarubois", "Mraie-Louise Sernarubois", True), ("Marielouise Lorbanelier", "Marie-Louise Lorbanelier", True), ("Jean Noel", "Jean Noelle", True), ("Paul X", "Pierre X", False)])
 def test_pairs_of_names(a, b, same):
     assert N.Matcher({}, 200).same([N.name_tokens(a)], [N.name_tokens(b)]) is same
+
+
+def test_names_of_common_tokens(spark):
+    """Names of which all tokens are common meet under misprints, initials and bynames; a vague initial links none."""
+    rows = [person(f"k{i:03}", f"{s} {n}") for i, (s, n) in enumerate(itertools.product(["Martin", "Durand", "Lefort"], ["Jeanne", "Octave", "Firmin", "Paule"] * 3))]
+    rows += [person("x1", "Martin Jaenne"), person("x2", "Martni Octave"), person("x3", "Durand F."), person("x4", "Lefort Oct.")]
+    rows += [person("y1", "Durand Olivier"), person("y2", "Durand O.")]
+    got = run(spark, rows, common=5)
+    of = lambda k: {dict(zip(rows_by, (r[1] for r in rows))).get(p) for pair in got if k in pair for p in pair if p != k}
+    rows_by = [r[0] for r in rows]
+    assert of("x1") == {"Martin Jeanne"} and of("x2") == {"Martin Octave"}
+    assert of("x3") == {"Durand Firmin"} and of("x4") == {"Lefort Octave"}
+    assert of("y2") == set()
