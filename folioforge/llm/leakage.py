@@ -14,8 +14,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,11 @@ def _alike(a: str, b: str) -> bool:
         return False
     if a[0] != b[0] and a[-1] != b[-1]:  # a misprint spares one end at least
         return False
+    return _misprint(a, b)
+
+
+@lru_cache(1 << 16)
+def _misprint(a: str, b: str) -> bool:
     return edit_distance(a, b, 2) <= max(1, reach(a))
 
 
@@ -192,27 +197,14 @@ def _densest(covered: np.ndarray, plain_word: np.ndarray) -> int:
     return int(np.where(good, counted[last + 1] - counted[first], 0).max())
 
 
-#: Seeds that have to meet near one diagonal. Twenty words hold some thirty where one word in eight is wrong and a dozen
-#: where one in four is; a phrase of seven words, as many texts share, holds four.
-SEEDS = 6
-
-
-def _promising(hits: set[tuple[int, int]], n_tokens: int) -> list[tuple[int, int]]:
-    """The hits, in order, that have SEEDS - 1 others near their diagonal; all of them for items too short to hold so many."""
-    if n_tokens < 14:
-        return sorted(hits)
-    if len(hits) < SEEDS:
-        return []
-    band = Counter((d - i) >> 3 for d, i in hits)
-    good = {b for b in band if max(band[b] + band.get(b - 1, 0), band[b] + band.get(b + 1, 0)) >= SEEDS}
-    return sorted(h for h in hits if (h[0] - h[1]) >> 3 in good) if good else []
-
-
 def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int = 6) -> tuple[int, float]:
     """(words of the longest run of the item found in the document, formulas aside; share of its words found in stretches)."""
     segments: list[tuple[int, int, int, int, set[int]]] = []
     active: list[tuple[int, int, int, int, set[int]]] = []  # those that reach as far as the hit at hand
-    for d, i in _promising(hits, len(it.tokens)):
+    short: set[tuple[int, int]] = set()  # places whose alignment is known to be too short
+    for d, i in sorted(hits):
+        if (d, i) in short:
+            continue
         active = [s for s in active if s[3] >= d]
         if any(s[0] <= i <= s[1] and s[2] <= d and abs((d - s[2]) - (i - s[0])) <= 6 for s in active):
             continue
@@ -222,6 +214,11 @@ def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int
         if len(found) >= least:
             segments.append((min(i0, i), max(i1, i), min(d0, d), max(d1, d), found))
             active.append(segments[-1])
+        else:
+            # From any place further on in the same words that agree, the same alignment comes out.
+            while d < len(doc) and i < len(it.tokens) and _alike(doc[d], it.tokens[i]):
+                short.add((d, i))
+                d, i = d + 1, i + 1
     if not segments:
         return 0, 0.0
     segments.sort(key=lambda s: s[:4])

@@ -71,3 +71,13 @@ def test_nulls_repeats_and_long_documents(spark):
     docs = [(1, None), (2, ""), (3, "  "), (4, passage), (4, passage), (5, (passage + " " + " ".join(words(20)) + " ") * 400), (None, passage)]
     assert run(spark, docs, [(1, " ".join(ITEM)), (1, " ".join(ITEM)), (2, None), (None, passage), (3, "")]) == {(4, 1), (5, 1), (None, 1)}
     assert run(spark, [], [(1, passage)]) == set() and run(spark, docs, []) == set()
+
+
+def test_few_seeds(spark):
+    """Sentences apart and runs with many misprints hold few seeds; they count as words do."""
+    item = [w + "." if i in (6, 13, 20) else w for i, w in enumerate(words(40))]
+    item = [w if len(w) > 3 else w + "taro" for w in item]
+    apart = [*item[:7], *words(30), *item[7:14], *words(30), *item[14:21]]
+    every_fourth = [misprint(w) if i % 4 == 3 else w for i, w in enumerate(item[:20])]
+    docs = [(i, " ".join([*words(15), *c, *words(15)])) for i, c in enumerate((apart, every_fourth))]
+    assert run(spark, docs, [(1, " ".join(item))]) == {(0, 1), (1, 1)}
