@@ -560,10 +560,13 @@ def honorific_variants(c):
     return c.curated.select("id", authority.name_variants(c.z).alias("own")).filter("size(own) > 0").select("id", F.explode(authority.with_honorifics(F.col("own"))).alias("variant"))
 
 
+def _store(c: Catalogue) -> DataFrame:
+    return c.variants.select(R.clean_ark(F.col("ark")).alias("ark"), F.col("variant"), F.lit(0).alias("ord")).filter("ark is not null and variant is not null").distinct()
+
+
 @query
 def person_variants(c):
-    store = c.variants.select(R.clean_ark(F.col("ark")).alias("ark"), F.col("variant"), F.lit(0).alias("ord")).filter("ark is not null and variant is not null").distinct()
-    return authority.person_variants(c.everything, store).select("ark", "variant").distinct()
+    return authority.person_variants(c.everything, _store(c)).select("ark", "variant").distinct()
 
 
 @query
@@ -631,10 +634,15 @@ def merge_ranges(c):
     return c.detections.filter("title is not null").select("detection_id", F.size(T.merge_ranges(spans)).cast("long").alias("n"))
 
 
+def _known_names(c: Catalogue) -> DataFrame:
+    """(ark, variant): the names of records and all that the store keeps, for ARKs with a record as well."""
+    return authority.person_variants(c.everything).unionByName(_store(c)).select("ark", "variant").distinct()
+
+
 def _titles(c: Catalogue) -> DataFrame:
     """Works with their titles and all names of their agents."""
     works = E.of_type(c.curated, E.WORK).select("id", R.first(c.z, "150", "a").alias("title"), F.explode_outer(authority.responsible_arks(c.z)).alias("ark")).filter("title <> ''")
-    named = works.select("id", "title", R.clean_ark(F.col("ark")).alias("ark")).join(authority.person_variants(c.everything), "ark", "left")
+    named = works.select("id", "title", R.clean_ark(F.col("ark")).alias("ark")).join(_known_names(c), "ark", "left")
     return named.groupBy("id", "title").agg(F.sort_array(F.collect_set("variant")).alias("variants"))
 
 
@@ -642,8 +650,7 @@ def _titles_by_name(c: Catalogue) -> DataFrame:
     """Titles with the names of known persons, and those that titles themselves state after `par`, that share
     their longest word with them: the word is the join key, so a title meets only names that may stand in it."""
     stated = E.of_type(c.curated, E.WORK).select(F.explode(F.regexp_extract_all(R.first(c.z, "150", "a"), F.lit(r"\bpar (\p{Lu}\p{L}+ \p{Lu}\p{L}+)"), F.lit(1))).alias("variant")).select(F.lit("").alias("ark"), "variant")
-    known = authority.person_variants(c.everything).select("ark", "variant")
-    names = known.unionByName(stated).distinct().withColumn("w", T.word_tokens(F.col("variant")))
+    names = _known_names(c).unionByName(stated).distinct().withColumn("w", T.word_tokens(F.col("variant")))
     longest = F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     keyed = names.filter("size(w) > 1").select("ark", "variant", longest.alias("word"))
     titles = E.of_type(c.curated, E.WORK).select("id", R.first(c.z, "150", "a").alias("title")).filter("title <> ''")
