@@ -647,15 +647,9 @@ def _titles(c: Catalogue) -> DataFrame:
 
 
 def _titles_by_name(c: Catalogue) -> DataFrame:
-    """Titles with the names of known persons, and those that titles themselves state after `par`, that share
-    their longest word with them: the word is the join key, so a title meets only names that may stand in it."""
-    stated = E.of_type(c.curated, E.WORK).select(F.explode(F.regexp_extract_all(R.first(c.z, "150", "a"), F.lit(r"\bpar (\p{Lu}\p{L}+ \p{Lu}\p{L}+)"), F.lit(1))).alias("variant")).select(F.lit("").alias("ark"), "variant")
-    names = _known_names(c).unionByName(stated).distinct().withColumn("w", T.word_tokens(F.col("variant")))
-    longest = F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    keyed = names.filter("size(w) > 1").select("ark", "variant", longest.alias("word"))
-    titles = E.of_type(c.curated, E.WORK).select("id", R.first(c.z, "150", "a").alias("title")).filter("title <> ''")
-    words = titles.select("id", "title", F.explode(F.array_distinct(T.word_tokens(F.col("title")))).alias("word"))
-    return words.join(keyed, "word").select("id", "title", "ark", "variant")
+    """Titles of works with each name of each of their own agents, which are looked for anywhere in the title."""
+    works = E.of_type(c.curated, E.WORK).select("id", R.first(c.z, "150", "a").alias("title"), F.explode(authority.responsible_arks(c.z)).alias("ark")).filter("title <> ''")
+    return works.select("id", "title", R.clean_ark(F.col("ark")).alias("ark")).distinct().join(_known_names(c), "ark").select("id", "title", "ark", "variant")
 
 
 @query

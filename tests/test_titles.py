@@ -26,3 +26,10 @@ def test_stored_names_are_found(spark, folder):
     c = catalogue(spark, folder, titles, [(TWO, "Belnetier", "Charlotte")], [(ONE, " Odile  Ralpemont"), (TWO, "Lolotte Belnetier")])
     assert {r.cleaned_title for r in detection.clean_titles(P._titles(c)).collect()} == {"Contes bleus", "Contes verts"}
     assert {(r.ark, r.variant.strip()) for r in detection.find_names(P._titles_by_name(c), least=0.0).collect() if r.ark} == {(ONE, "Odile  Ralpemont"), (TWO, "Lolotte Belnetier")}
+
+
+def test_own_agents_only(spark, folder):
+    """A name may begin or end within a word of the title; names of persons who aren't the work's agents are none, nor are those after `par`."""
+    titles = [("Contes bleus (Odile Ralpemontois)", [ONE]), ("Contes verts par Charlotte Belnetier", [ONE]), ("Contes gris par Jeanne Corpignet", [])]
+    c = catalogue(spark, folder, titles, [(ONE, "Ralpemont", "Odile"), (TWO, "Belnetier", "Charlotte")])
+    assert {(r.id, r.ark, r.variant) for r in detection.find_names(P._titles_by_name(c), least=0.0).collect()} == {("9000", ONE, "Odile Ralpemont")}
