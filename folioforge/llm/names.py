@@ -7,14 +7,15 @@ are candidates; their names are then aligned token by token by optimal assignmen
 permits misprints, initials, abbreviations and bynames.
 
 Every token is filed under itself (own) and under the tokens that it may stand for or be shortened to
-(borrowed). In names that agree all tokens do, so those that meet under no file of at most `common` keys meet
-under a pair of files, and hot files are never joined alone: only names that hold both tokens meet.
+(borrowed). In names that agree all tokens do, so those that meet under no token of at most `common` keys meet
+under a choice of all their tokens (three of them, if there are more); hot tokens are never joined alone. What large
+files are left, those of one and the same frequent name, are met in blocks of bounded size.
 
 Bynames and contracted abbreviations are learned from the names themselves: two tokens that stand for each
 other in the names of several keys, all else being equal, are aliases.
 
-Where only common tokens (of more than `common` keys) stand in full beside an initial, a shortening or a byname, the names
-are linked if the shortened one can stand for one person only: if all that it agrees with are linked otherwise.
+Where an initial, a shortening or a byname stands on one side, the names are linked if the shortened one can stand for one
+person only: if all that it agrees with are linked otherwise. No count of keys decides whether names agree in full.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations, permutations, product
 
 import pyarrow as pa
 import xxhash
@@ -31,21 +33,36 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.components import connected_components
 from folioforge.llm.confusables import LOOK_ALIKES
+from folioforge.operators import authority
 from folioforge.session import materialize
 
 #: Words of names that don't tell them apart.
-PARTICLES = frozenset("de du des d la le les l von van der den di da del et the of and zu zur".split())
-HONORIFICS = frozenset("madame mme monsieur mr mademoiselle mlle monseigneur mgr comtesse ctesse comte cte marquise mqe marquis mq docteur dr professeur pr capitaine cne lieutenant lt general gal baron bn baronne bne commandant cdt abbe".split())
+PARTICLES = frozenset(("de", "du", "des", "d", "la", "le", "les", "l", "von", "van", "der", "den", "di", "da", "del", "et", "the", "of", "and", "zu", "zur"))
+TITLES = ("abbe",)
 
 _LOOK = {ord(c): to for group, to in LOOK_ALIKES for c in group}
 _TOKEN = re.compile(r"[^\W_]+\.?")
 
 
+class _Plain(dict):
+    """Code point -> what stands for it: nothing for combining and invisible characters. Filled as characters are met."""
+
+    def __missing__(self, code: int) -> str | None:
+        ch = chr(code)
+        self[code] = to = None if unicodedata.combining(ch) or unicodedata.category(ch) == "Cf" else ch
+        return to
+
+
+_PLAIN = _Plain(_LOOK | {ord("œ"): "oe", ord("Œ"): "oe", ord("æ"): "ae"})
+
+
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters and look-alikes."""
-    text = unicodedata.normalize("NFKD", text).translate(_LOOK)
-    text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return text.replace("œ", "oe").replace("Œ", "oe").replace("æ", "ae").lower()
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).translate(_PLAIN).lower()
+
+
+#: The catalogue's honorifics and their abbreviations, single letters aside: those are initials.
+HONORIFICS = frozenset(w for pair in authority.HONORIFICS for t in pair if len(w := plain(t).rstrip(".")) > 1) | {*TITLES}
 
 
 def name_tokens(text: str, body: bool = False) -> list[str]:
@@ -56,23 +73,38 @@ def name_tokens(text: str, body: bool = False) -> list[str]:
 
 
 def edit_distance(a: str, b: str, most: int = 2) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours between a and b, or most + 1."""
+    """Insertions, deletions, substitutions and swaps of neighbours between a and b, or most + 1. A column of the table is
+    held as the bits of two numbers, one for its steps up and one for its steps down."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return most + 1
-        before, last = last, now
-    return min(last[-1], most + 1)
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    every = (1 << len(a)) - 1
+    last = 1 << len(a) - 1
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    up, down, level, before, far = every, 0, 0, 0, len(a)
+    for ch in b:
+        here = at.get(ch, 0)
+        swap = ((~level & here) << 1) & before
+        level = (((here & up) + up) ^ up | here | down | swap) & every
+        plus, minus = (down | ~(level | up)) & every, level & up
+        far += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & every, minus << 1 & every
+        up, down, before = (minus | ~(level | plus)) & every, plus & level, here
+    return min(far, most + 1)
+
+
+@lru_cache(1 << 16)
+def letters(token: str) -> int:
+    """Which letters a token holds, as bits; rare ones share bits."""
+    out = 0
+    for ch in token:
+        out |= 1 << ord(ch) % 61
+    return out
 
 
 def reach(token: str) -> int:
@@ -80,14 +112,6 @@ def reach(token: str) -> int:
     return 0 if len(token) < 4 else 1 if len(token) < 8 else 2
 
 
-def deletions(token: str) -> set[str]:
-    out, edge = {token}, {token}
-    for _ in range(reach(token)):
-        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
-        out |= edge
-    return out
-
-
 def assign(cost: list[list[float]]) -> tuple[float, list[int]]:
     """Optimal assignment of rows to columns (as many or more): (total, column of each row)."""
     n, m, far = len(cost), len(cost[0]), float("inf")
@@ -127,17 +151,40 @@ def assign(cost: list[list[float]]) -> tuple[float, list[int]]:
 _NEVER = 1000.0
 
 
+class Named:
+    """The names of one key, ready to be compared: its forms, those of the same tokens once; readings adds those with two neighbouring
+    tokens as one; tokens are those of either."""
+
+    def __init__(self, forms: list[list[str]]) -> None:
+        once = lambda found: list({tuple(sorted(f)): f for f in reversed(found)}.values())[::-1]
+        self.forms = once(forms)
+        self.joined = once([j for f in forms for j in joinings(f)])
+        self.tokens = list({t: None for f in (*self.forms, *self.joined) for t in f})
+
+
 class Matcher:
-    """Compares names. info: token -> (number of keys that hold it, aliases)."""
+    """Compares names. info: token -> (number of keys that hold it, aliases), the same in every pair; costs are kept for the next one."""
+
+    def __init__(self, info: dict[str, tuple[int, frozenset[str]]]) -> None:
+        self.info, self.more = info, {}
+        self.costs: dict[tuple[str, str], float] = {}
 
-    def __init__(self, info: dict[str, tuple[int, frozenset[str]]], common: int) -> None:
-        self.info, self.common = info, common
+    def _known(self, token: str) -> tuple[int, frozenset[str]]:
+        return self.info.get(token) or self.more.get(token) or (1, frozenset())
 
     def keys_of(self, token: str) -> int:
-        return self.info.get(token, (1, frozenset()))[0]
+        return self._known(token)[0]
 
     def aliases(self, token: str) -> frozenset[str]:
-        return self.info.get(token, (1, frozenset()))[1]
+        return self._known(token)[1]
+
+    def kept_cost(self, t: str, u: str) -> float:
+        found = self.costs.get((t, u))
+        if found is None:
+            if len(self.costs) > 1 << 19:
+                self.costs.clear()
+            found = self.costs[t, u] = self.cost(t, u)
+        return found
 
     def cost(self, t: str, u: str) -> float:
         """0 for the same token, under 1 for a shortening or alias, 1 or 2 for misprints."""
@@ -154,43 +201,47 @@ class Matcher:
             return 0.5
         if b.startswith(a) and t.endswith("."):
             return 0.5
-        n, m = sorted((self.keys_of(a), self.keys_of(b)))
+        n, m = self.keys_of(a), self.keys_of(b)
+        n, m = min(n, m), max(n, m)
         # Two tokens that both are well established are two names, not a name and its shortening or misprint.
         if len(a) < 3 or n >= 5 and n * 10 >= m:
             return _NEVER
         if len(b) - len(a) >= 2 and (b.startswith(a) or len(a) >= 4 and b.endswith(a)):
             return 0.5
         most = min(max(reach(a), 1), reach(b))
+        # A letter that only one of them holds takes an edit.
+        held, other = letters(a), letters(b)
+        if len(b) - len(a) > most or (held & ~other).bit_count() > most or (other & ~held).bit_count() > most:
+            return _NEVER
         d = edit_distance(a, b, most)
         return float(d) if d <= most else _NEVER
 
     def judge(self, one: list[str], two: list[str], most: float) -> int:
-        """-1 if the names differ, 0 if they agree; if they agree by common tokens only, the sides that are shortened: 1, 2 or both (3)."""
+        """-1 if the names differ, 0 if they agree token by token, misprints aside; if a token agrees as an initial, a shortening or a
+        byname, the sides that are shortened: 1, 2 or both (3)."""
         if len(one) != len(two):
             return -1
         if sorted(one) == sorted(two):
             return 0
         costs = []
         for t in one:
-            costs.append([self.cost(t, u) for u in two])
+            costs.append([self.kept_cost(t, u) for u in two])
             if min(costs[-1]) > most:
                 return -1
         total, place = assign(costs)
         if total > most:
             return -1
-        # Something must stand in full on both sides; if all that does is common, what is shortened may be of several persons.
+        # Something must stand in full on both sides; what is shortened may be of several persons.
         full = [(i, j) for i, j in enumerate(place) if costs[i][j] in (0.0, 1.0, 2.0) and min(len(one[i]), len(two[j])) >= 4]
         if not full:
             return -1
         count = lambda t: self.keys_of(t.rstrip("."))
-        if total == 0 or any(min(count(one[i]), count(two[j])) <= self.common for i, j in full):
+        if all(costs[i][j] != 0.5 for i, j in enumerate(place)):
             return 0
         short = 0
         for i, j in enumerate(place):
-            if costs[i][j]:
+            if costs[i][j] == 0.5:
                 a, b = len(one[i].rstrip(".")), len(two[j].rstrip("."))
-                if costs[i][j] >= 1:  # two well established names
-                    return -1
                 aliases = two[j].rstrip(".") in self.aliases(one[i].rstrip("."))
                 if aliases:
                     a, b = count(one[i]), count(two[j])
@@ -200,13 +251,20 @@ class Matcher:
     def align(self, one: list[str], two: list[str], most: float) -> bool:
         return self.judge(one, two, most) == 0
 
-    def grade(self, one: list[list[str]], two: list[list[str]], most: float = 3.0) -> int:
-        """The best that judge() finds among the forms of two keys: 0, then a side that is shortened, then both; -1 if none agree."""
+    def grade(self, one: Named, two: Named, most: float = 3.0) -> int:
+        """The best that judge() finds among the forms of two keys: 0, then a side that is shortened, then both; -1 if none agree.
+        Forms of which a token has no counterpart in any form of the other key are passed over."""
+        cost = self.kept_cost
+        able = {t for t in one.tokens if any(cost(t, u) <= most for u in two.tokens)}
+        if not able:
+            return -1
+        fits = lambda forms: [f for f in forms if all(t in able for t in f)]
+        plain, joined = fits(one.forms), fits(one.joined)
         best = -1
-        for a in one:
-            for b in two:
-                for x, y in ((a, b), *(_joined(a, b) if len(a) != len(b) else ())):
-                    found = self.judge(x, y, most)
+        for x, y in ((plain, two.forms), (plain, two.joined), (joined, two.forms)):
+            for a in x:
+                for b in y:
+                    found = self.judge(a, b, most) if len(a) == len(b) else -1
                     if found == 0:
                         return 0
                     if found > 0:
@@ -214,19 +272,14 @@ class Matcher:
         return best
 
     def same(self, one: list[list[str]], two: list[list[str]], most: float = 3.0) -> bool:
-        return self.grade(one, two, most) == 0
+        return self.grade(Named(one), Named(two), most) >= 0
 
 
-def _joined(a: list[str], b: list[str]) -> Iterator[tuple[list[str], list[str]]]:
-    """Two neighbouring tokens of the longer name as one, if it is longer by one."""
-    swap = len(a) < len(b)
-    long, short = (b, a) if swap else (a, b)
-    if len(long) != len(short) + 1:
-        return
-    for i in range(len(long) - 1):
-        if "." not in long[i]:
-            one = [*long[:i], long[i] + long[i + 1], *long[i + 2 :]]
-            yield (short, one) if swap else (one, short)
+def joinings(form: list[str]) -> Iterator[list[str]]:
+    """A form with two neighbouring tokens read as one."""
+    for i in range(len(form) - 1):
+        if "." not in form[i]:
+            yield [*form[:i], form[i] + form[i + 1], *form[i + 2 :]]
 
 
 def usable(forms: list[list[str]]) -> list[list[str]]:
@@ -255,16 +308,6 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in out[:5]), pa.array(out[5], pa.bool_())], names=["key", "form", "kind", "born", "died", "head"])
 
 
-def _file_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        files, tokens = [], []
-        for token in batch.column(0).to_pylist():
-            for rest in deletions(token):
-                files.append(xxhash.xxh3_64_intdigest(rest) - (1 << 63))
-                tokens.append(token)
-        yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(tokens, pa.string())], names=["file", "token"])
-
-
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = (batch.column(i).to_pylist() for i in range(2))
@@ -272,17 +315,46 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def deletions(token: str) -> set[str]:
+    """A token and what is left of it without as many letters as it may differ by: the files it stands in."""
+    out, edge = {token}, {token}
+    for _ in range(reach(token)):
+        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
+        out |= edge
+    return out
+
+
+def _file_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        files, ends = [], [0]
+        for token in batch.column(1).to_pylist():
+            files += [digest(rest) - (1 << 63) for rest in deletions(token)]
+            ends.append(len(files))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(files, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "files"])
+
+
 def neighbours(tokens: DataFrame) -> DataFrame:
-    """(one, two): the pairs one < two of a table of distinct tokens (column token) within reach of each other."""
-    files = tokens.mapInArrow(_file_tokens, "file long, token string")
-    other = files.select("file", F.col("token").alias("two"))
-    pairs = files.select("file", F.col("token").alias("one")).join(other, "file").filter("one < two").select("one", "two").distinct()
-    return pairs.mapInArrow(_close, "one string, two string")
+    """(one, two): the pairs one < two of a table of distinct tokens (column token) within reach of each other.
+
+    A file holds distinct tokens that are a letter or two longer than its name, so its size is bounded by the alphabet, not
+    by the rows. Only pairs that may owe their nearness to a swap of neighbouring letters, which the built-in distance
+    counts as two edits, go through Python."""
+    keyed = tokens.select("token", F.xxhash64("token").alias("id"))
+    files = keyed.select("id", "token").mapInArrow(_file_tokens, "id long, files array<long>").select("id", F.explode("files").alias("file"))
+    met = files.join(files.select("file", F.col("id").alias("id2")), "file").filter("id < id2").select("id", "id2").distinct()
+    # Tokens of one number, should there be any, all come back here and are compared.
+    back = met.join(keyed.select("id", F.col("token").alias("x")), "id").join(keyed.select(F.col("id").alias("id2"), F.col("token").alias("y")), "id2")
+    most = F.when(F.least(F.length("one"), F.length("two")) < 4, 0).when(F.least(F.length("one"), F.length("two")) < 8, 1).otherwise(2)
+    near = back.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")).withColumn("most", most).withColumn("d", F.levenshtein("one", "two", 4)).filter("d >= 0 and d <= 2 * most")
+    told = materialize(near.distinct(), "near")
+    return told.filter("d <= most").select("one", "two").unionByName(told.filter("d > most").select("one", "two").mapInArrow(_close, "one string, two string"))
 
 
 def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each key, the tokens that stand for one another in its first and another form."""
-    bare = Matcher({}, 0)
+    bare = Matcher({})
     for batch in batches:
         found: list[tuple[str, str]] = []
         for head, forms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -304,21 +376,18 @@ def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([u for _, u in found], pa.string())], names=["t", "u"])
 
 
-def _compare(common: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Keys come in many pairs: what is read of one is kept for the next.
-        names = lru_cache(1 << 14)(lambda forms: usable([f.split(" ") for f in forms.split("\n")]))
-        known = lru_cache(1 << 14)(_read_info)
-        matcher = Matcher({}, common)
-        for batch in batches:
-            short = []
-            for forms_a, forms_b, info_a, info_b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                matcher.info = known(info_a) | known(info_b)
-                short.append(matcher.grade(names(forms_a), names(forms_b)))
-            graded = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.int32())], names=["a", "b", "short"])
-            yield graded.filter(pa.array([x >= 0 for x in short], pa.bool_()))
-
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Keys come in many pairs: what is read of one is kept for the next.
+    names = lru_cache(1 << 14)(lambda forms: Named(usable([f.split(" ") for f in forms.split("\n")])))
+    known = lru_cache(1 << 14)(_read_info)
+    matcher = Matcher({})
+    for batch in batches:
+        short = []
+        for forms_a, forms_b, info_a, info_b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            matcher.info, matcher.more = known(info_a), known(info_b)
+            short.append(matcher.grade(names(forms_a), names(forms_b)))
+        graded = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.int32())], names=["a", "b", "short"])
+        yield graded.filter(pa.array([x >= 0 for x in short], pa.bool_()))
 
 
 def _read_info(info: str | None) -> dict[str, tuple[int, frozenset[str]]]:
@@ -329,16 +398,23 @@ def _read_info(info: str | None) -> dict[str, tuple[int, frozenset[str]]]:
     return out
 
 
-def _closed(links: DataFrame, who: DataFrame) -> DataFrame:
-    """All pairs of keys that are linked directly or indirectly; but only the direct ones among keys of
-    which two have different full years."""
+def name_groups(links: DataFrame, who: DataFrame) -> DataFrame:
+    """(key, root, sure) of each linked key: its group, and whether no two keys of it have different full years."""
     member = connected_components(links).select(F.col("node").alias("key"), "root").join(who.select("key", "born", "died"), "key")
-    years = lambda c: F.count_distinct(F.when(F.col(c) != "", F.col(c)))
-    group = materialize(member.join(member.groupBy("root").agg((F.greatest(years("born"), years("died")) <= 1).alias("sure")), "root").select("key", "root", "sure"), "groups")
-    sure = group.filter("sure").select("root", F.col("key").alias("a"))
-    pairs = sure.join(sure.withColumnRenamed("a", "b"), "root").filter("a < b").select("a", "b")
-    direct = links.join(group.filter("not sure").select(F.col("key").alias("a")), "a", "left_semi")
-    return pairs.unionByName(direct)
+    known = lambda c: F.when(F.col(c) != "", F.col(c))
+    one = lambda c: F.coalesce(F.min(known(c)) == F.max(known(c)), F.lit(True))
+    sure = member.groupBy("root").agg((one("born") & one("died")).alias("sure"))
+    return member.join(sure, "root").select("key", "root", "sure")
+
+
+def pairs_of(groups: DataFrame, links: DataFrame, block: int = 1000) -> DataFrame:
+    """All pairs a < b of keys of one group, in blocks of bounded size; of groups that aren't sure only the links themselves."""
+    sure = groups.filter("sure")
+    parts = sure.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    one = sure.join(parts, "root").select("root", F.col("key").alias("a"), "parts")
+    two = one.select("root", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    pairs = one.withColumn("block", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).join(two, ["root", "block"]).filter("a < b").select("a", "b")
+    return pairs.unionByName(links.join(groups.filter("not sure").select(F.col("key").alias("a")), "a", "left_semi"))
 
 
 def _pieces(token: Column, lengths: list[int]) -> Column:
@@ -351,40 +427,31 @@ def _pieces(token: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(F.transform(sizes, lambda k: F.left(token, k)), ends, without))
 
 
-def _pair_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The files of a form of k tokens, as it is and with two neighbouring tokens as one: each common feature of a full token with each
-    feature of another one, by number of tokens; side: the bits of those borrowed, and 4 for tokens read as one."""
+def _joint_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files of a form, as it is and with two neighbouring tokens as one: every choice of a feature of each of its tokens (of three
+    of them, if it has more), of which one at least is common and none has a file of its own for all that share it; with the number of tokens. Side: which
+    of the features are borrowed, as bits in their order, and 8 for tokens read as one."""
     for batch in batches:
         keys, files, sides = [], [], []
         for key, k, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
             own = [p for p in parts if p["width"] == 1]
             readings = [(k, 0, own)]
             for i in range(k - 1):
-                readings.append((k - 1, 4, [p for p in own if p["pos"] not in (i, i + 1)] + [p for p in parts if p["width"] == 2 and p["pos"] == i]))
+                readings.append((k - 1, 8, [p for p in own if p["pos"] not in (i, i + 1)] + [p for p in parts if p["width"] == 2 and p["pos"] == i]))
             out = set()
             for n, joined, held in readings:
-                for p in held:
-                    for f in p["feats"]:
-                        if not f["hot"]:
-                            continue
-                        x = f["feature"], f["borrowed"]
-                        if n == 1:
-                            out.add((n, x[0], "", x[1] | joined))
-                        for q in held:
-                            if q is p:
-                                continue
-                            for g in q["feats"]:
-                                if g["solo"]:
-                                    continue
-                                y = g["feature"], g["borrowed"]
-                                if x[0] == y[0]:
-                                    out |= {(n, x[0], y[0], x[1] | y[1] << 1 | joined), (n, x[0], y[0], y[1] | x[1] << 1 | joined)}
-                                else:
-                                    a, b = sorted((x, y))
-                                    out.add((n, a[0], b[0], a[1] | b[1] << 1 | joined))
-            for n, x, y, side in out:
+                feats = [[(f["feature"], f["borrowed"], f["hot"]) for f in p["feats"] if f["lent"] or not f["solo"]] for p in held]
+                for some in combinations(feats, min(n, 3)):
+                    for chosen in product(*some):
+                        if any(f[2] for f in chosen):
+                            chosen = sorted(chosen)
+                            name = "+".join(f[0] for f in chosen)
+                            # Tokens of one feature may change places.
+                            for bits in {tuple(f[1] for f in x) for x in permutations(chosen) if [f[0] for f in x] == [f[0] for f in chosen]}:
+                                out.add((f"{n}+{name}", sum(b << i for i, b in enumerate(bits)) | joined))
+            for name, side in out:
                 keys.append(key)
-                files.append(xxhash.xxh3_64_intdigest(f"{n}+{x}+{y}") - (1 << 63))
+                files.append(xxhash.xxh3_64_intdigest(name) - (1 << 63))
                 sides.append(side)
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(sides, pa.int32()), pa.array(keys, pa.string())], names=["file", "side", "key"])
 
@@ -407,14 +474,15 @@ def _clear(graded: DataFrame) -> DataFrame:
     return sure.unionByName(clear)
 
 
-def link_names(names: DataFrame, common: int = 200, alias_support: int = 2) -> DataFrame:
-    """(a, b): the pairs a < b of keys whose names belong to one person or body.
+def link_names(names: DataFrame, common: int = 200, alias_support: int = 2, block: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(links, groups): links are the pairs (a, b), a < b, of keys whose names agree; groups (key, root, sure) has the group of
+    each linked key, see name_groups. pairs_of(groups, links) gives all pairs of a group where they are asked for.
 
     names: key, text, kind ('person', 'body' or ''), years (of life, as `1900-1980`) and head (whether the
     text is the key's heading). Keys of known different kinds, and keys with different full years of
-    birth or of death, are never linked directly; links are closed over chains, except where a chain holds
-    such keys. Null keys and blank texts are no names; repeated rows change
-    nothing; a key without any usable name is linked to none; other columns are ignored.
+    birth or of death, are never linked directly. Null keys and blank texts are no names; repeated rows change
+    nothing; a key without any usable name is linked to none; other columns are ignored. `common` only says under
+    what files names meet, never whether they agree; `block` how many keys of a large file meet in one task.
     """
     filled = names.filter("key is not null and text rlike '[^\\\\s]'").select("key", "text", F.coalesce("kind", F.lit("")).alias("kind"), "years", F.coalesce("head", F.lit(False)).alias("head")).distinct()
     forms = materialize(filled.mapInArrow(_tokenise, "key string, form string, kind string, born string, died string, head boolean"), "forms")
@@ -460,26 +528,36 @@ def link_names(names: DataFrame, common: int = 200, alias_support: int = 2) -> D
     features = materialize(features, "features")
     sized = materialize(
         features.join(real.select(F.col("token").alias("feature"), F.col("n").alias("size")), "feature")
-        .select("token", "feature", "borrowed", (F.col("full") & (F.col("size") <= common)).alias("solo"), (F.col("full") & (F.col("size") > common)).alias("hot")),
+        # Tokens that are shortened to a rare one don't stand in its own file: it meets them beside common tokens.
+        .join(features.filter("borrowed = 1 and not full").select("feature", F.lit(True).alias("lent")).distinct(), "feature", "left")
+        .select(
+            "token", "feature", "borrowed", (F.col("full") & (F.col("size") <= common)).alias("solo"), (F.col("full") & (F.col("size") > common)).alias("hot"), (F.coalesce("lent", F.lit(False)) & (F.col("borrowed") == 0)).alias("lent"),
+        ),
         "sized",
     )
-    alone = held.filter("own").select("key", "token").join(sized.filter("solo"), "token").select(F.xxhash64("feature").alias("file"), F.col("borrowed").alias("side"), "key")
+    alone = held.join(sized.filter("solo"), "token").select(F.xxhash64("feature").alias("file"), F.col("borrowed").bitwiseOR(F.when(F.col("own"), 0).otherwise(8)).alias("side"), "key")
+    # Forms of short tokens only meet as they are: nothing in them may be misprinted or stand for something else.
+    short = split.filter(~F.exists("w", lambda t: F.length(t) >= 4)).select(F.xxhash64(F.array_join(F.array_sort("w"), " "), F.lit("short")).alias("file"), F.lit(0).alias("side"), "key")
     # The rest: each common feature with each other one of the same form.
-    of_token = sized.groupBy("token").agg(F.collect_list(F.struct("feature", "borrowed", "solo", "hot")).alias("feats"), F.max("hot").alias("hot"))
+    of_token = sized.groupBy("token").agg(F.collect_list(F.struct("feature", "borrowed", "solo", "hot", "lent")).alias("feats"), F.max("hot").alias("hot"))
     each = split.select("key", F.array_join("w", " ").alias("form"), "w").distinct().withColumn("k", F.size("w"))
     placed = each.select("key", "form", "k", F.lit(1).alias("width"), F.posexplode("w").alias("pos", "token")).unionByName(
         each.filter("k > 1").select("key", "form", "k", F.lit(2).alias("width"), F.posexplode(merged).alias("pos", "token"))
     )
     parts = placed.join(of_token, "token").groupBy("key", "form", "k").agg(F.collect_list(F.struct("pos", "width", "feats")).alias("parts"), F.max("hot").alias("hot"))
-    paired = parts.filter("hot").select("key", "k", "parts").mapInArrow(_pair_files, "file long, side int, key string")
-    filed = materialize(alone.unionByName(paired).distinct(), "filed")
+    paired = parts.filter("hot").select("key", "k", "parts").mapInArrow(_joint_files, "file long, side int, key string")
+    filed = materialize(alone.unionByName(short).unionByName(paired).distinct(), "filed")
 
     side = lambda s: known.select(F.col("key").alias(s), F.array_join("forms", "\n").alias(f"forms_{s}"), F.col("info").alias(f"info_{s}"))
     who = known.select("key", "kind", "born", "died")
-    card = filed.join(who, "key")
-    other = card.select("file", *(F.col(c).alias(f"_{c}") for c in ("side", "key", "kind", "born", "died")))
+    # A large file is met in blocks: its keys on the left are spread over some, on the right they stand in each.
+    parts = filed.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
+    card = filed.join(parts, "file", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).join(who, "key")
+    other = card.select("file", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), *(F.col(c).alias(f"_{c}") for c in ("side", "key", "kind", "born", "died")))
+    card = card.withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     agree = lambda c: (F.col(c) == "") | (F.col(f"_{c}") == "") | (F.col(c) == F.col(f"_{c}"))
-    pairs = card.join(other, "file").filter((F.col("key") < F.col("_key")) & (F.col("side").bitwiseAND(F.col("_side")) == 0) & agree("kind") & agree("born") & agree("died")).select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct()
+    pairs = card.join(other, ["file", "block"]).filter((F.col("key") < F.col("_key")) & (F.col("side").bitwiseAND(F.col("_side")) == 0) & agree("kind") & agree("born") & agree("died")).select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct()
     both = materialize(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
-    graded = both.select("a", "b", "forms_a", "forms_b", "info_a", "info_b").mapInArrow(_compare(common), "a string, b string, short int")
-    return _closed(materialize(_clear(materialize(graded, "graded")), "links"), who)
+    graded = both.select("a", "b", "forms_a", "forms_b", "info_a", "info_b").mapInArrow(_compare, "a string, b string, short int")
+    links = materialize(_clear(materialize(graded, "graded")), "links")
+    return links, materialize(name_groups(links, who), "groups")

@@ -9,7 +9,7 @@ from folioforge.llm.components import connected_components
 from folioforge.llm.confusables import same_look
 from folioforge.llm.fusion import best_members
 from folioforge.llm.leakage import find_leaks
-from folioforge.llm.names import link_names
+from folioforge.llm.names import link_names, pairs_of
 from folioforge.llm.packing import pack, token_counts
 from folioforge.llm.sentences import sentences
 from folioforge.llm.sql import ORACLE  # noqa: F401
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def catalogue_names(spark: SparkSession, folder: str) -> DataFrame:
     """The names of the ARKs of the name store: its variants and the headings 100/400/110/410 of their records."""
     store = table(spark, folder, "nes_variant").select(clean_ark(F.col("ark")).alias("key"), F.col("variant").alias("text")).filter("key is not null").distinct()
-    records = table(spark, folder, "test_honorific").filter(_mentions("100$a", "110$a")).select("intermarc").unionByName(table(spark, folder, "authority_core").select("intermarc"))
+    records = table(spark, folder, "test_honorific").filter(_mentions("100$", "110$", "400$", "410$")).select("intermarc").unionByName(table(spark, folder, "authority_core").select("intermarc"))
     zones = records.select(parse_zones(F.col("intermarc")).alias("zones"))
     heads = F.filter(F.col("zones"), lambda z: z["code"].isin("100", "400", "110", "410"))
     part = lambda z, s: F.try_element_at(zone_values(z, F.concat(z["code"], F.lit(s))), F.lit(1))
@@ -50,7 +50,15 @@ def catalogue_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return link_names(catalogue_names(spark, folder)).select(F.col("a").alias("ark_a"), F.col("b").alias("ark_b"))
+    links, groups = link_names(catalogue_names(spark, folder))
+    return pairs_of(groups, links).select(F.col("a").alias("ark_a"), F.col("b").alias("ark_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of each ARK that stands for an entity with several ARKs, and how many links it has."""
+    links, groups = link_names(catalogue_names(spark, folder))
+    each = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    return groups.join(each, "key").select(F.col("key").alias("ark"), F.col("root").alias("group_ark"), "sure", "n_links")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,4 +98,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_representatives, p7_found, p8_packing, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p5_found, p5_representatives, p7_found, p8_packing, p9_found, p10_found)}

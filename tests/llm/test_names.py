@@ -10,7 +10,8 @@ SCHEMA = "key string, text string, kind string, years string, head boolean, root
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
-    return {(r.a, r.b) for r in N.link_names(df, **kw).collect()}
+    links, groups = N.link_names(df, **kw)
+    return {(r.a, r.b) for r in N.pairs_of(groups, links, 3).collect()}
 
 
 def person(key, text, years=None, head=True):
@@ -91,7 +92,7 @@ def test_empty_and_repeated(spark):
 
 @pytest.mark.parametrize("a,b,same", [("Marie-Louise Sernarubois", "Mraie-Louise Sernarubois", True), ("Marielouise Lorbanelier", "Marie-Louise Lorbanelier", True), ("Jean Noel", "Jean Noelle", True), ("Paul X", "Pierre X", False)])
 def test_pairs_of_names(a, b, same):
-    assert N.Matcher({}, 200).same([N.name_tokens(a)], [N.name_tokens(b)]) is same
+    assert N.Matcher({}).same([N.name_tokens(a)], [N.name_tokens(b)]) is same
 
 
 def test_names_of_common_tokens(spark):
@@ -105,3 +106,39 @@ def test_names_of_common_tokens(spark):
     assert of("x1") == {"Martin Jeanne"} and of("x2") == {"Martin Octave"}
     assert of("x3") == {"Durand Firmin"} and of("x4") == {"Lefort Octave"}
     assert of("y2") == set()
+
+
+def test_short_tokens_and_blocks(spark):
+    """Names of short tokens only meet in any order; large files are met in blocks; headings may be one word on one side."""
+    rows = [person("a", "Li Wu"), person("b", "Wu, Li"), person("c", "Li Wo"), person("d", "Poe Max"), person("e", "Max Poe")]
+    rows += [person(f"k{i:02}", "Ralpemont Odile") for i in range(25)] + [person("v1", "Vandamme Odile"), person("v2", "Van Damme Odile")]
+    got = run(spark, rows, common=5, block=4)
+    want = {("a", "b"), ("d", "e"), ("v1", "v2")} | set(itertools.combinations([f"k{i:02}" for i in range(25)], 2))
+    assert got == want
+
+
+@pytest.mark.parametrize("common", [2, 1000])
+def test_candidates_against_brute_force(spark, common):
+    """Whatever files names meet under, every pair that agrees in full is linked."""
+    rng = random.Random(5)
+    first, last = ["Jeanne", "Octave", "Firmin", "Marie", "Louise"], ["Martin", "Durandeau", "Lefort", "Li", "Delavigne"]
+    rows = []
+    for i in range(60):
+        name = [*rng.sample(first, rng.choice([1, 1, 2])), rng.choice(last)]
+        j = rng.randrange(len(name))
+        w = name[j]
+        at = rng.randrange(len(w) - 1)
+        if len(w) > 4 and rng.random() < 0.5:
+            name[j] = rng.choice([w[:at] + w[at + 1 :], w[:at] + w[at + 1] + w[at] + w[at + 2 :], w[:at] + "x" + w[at:]])
+        rng.shuffle(name)
+        rows.append(person(f"k{i:02}", " ".join(name)))
+    names = {r[0]: N.name_tokens(r[1]) for r in rows}
+    held = {}
+    for tokens in names.values():
+        for t in set(tokens):
+            held[t] = held.get(t, 0) + 1
+    matcher = N.Matcher({t: (n, frozenset()) for t, n in held.items()})
+    want = {(a, b) for a, b in itertools.combinations(sorted(names), 2) if matcher.grade(N.Named([names[a]]), N.Named([names[b]])) == 0}
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    links, groups = N.link_names(df, common=common)
+    assert want <= {(r.a, r.b) for r in links.collect()}
