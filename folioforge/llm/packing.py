@@ -2,9 +2,9 @@
 
 Method: configuration linear program over the length histogram. A configuration is a filling of one container; the
 program covers all items with as few as possible. It is solved by multiplicative weights: lengths that
-are still little covered weigh more, a knapsack dynamic program prices the configuration of greatest
-weight, and that one is used a little more. The fractional solution is rounded down, and what
-remains is filled pattern by pattern, longest first.
+are still little covered weigh more, a knapsack dynamic program prices the configurations of greatest
+weight, and those are used a little more, until all items are covered. The solution is rounded by carrying shares of a
+container from one configuration to the next.
 
 Only the histogram, at most `capacity` numbers, comes to the driver; the plan that goes back tells which ranks of each
 length go to which containers, and its size is bounded by the rounds and the lengths, not by the items.
@@ -15,6 +15,8 @@ third of all items have is ranked by many tasks.
 from __future__ import annotations
 
 import base64
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,102 +51,151 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.filter("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_count_tokens(vocabulary), "doc_id long, n_tokens long")
 
 
-def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the greatest value of a filling of each size, and the last length put
-    into it (0: a unit is left empty). value[l] is what an item of length l is worth; those worth nothing aren't used."""
+def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack by dynamic programming: the greatest value of a filling of each size. value[l] is what an item of length l
+    is worth; those worth nothing aren't used."""
     lengths = np.flatnonzero(value > 0)
     lengths = lengths[lengths > 0]
     worth = value[lengths]
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    best = np.zeros(capacity + 1)
     ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if ends[c]:
-            total = worth[: ends[c]] + best[c - lengths[: ends[c]]]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], choice[c] = total[k], lengths[k]
-    return best, choice
-
-
-def _filling(choice: np.ndarray, room: int) -> dict[int, int]:
-    out: dict[int, int] = {}
-    while room > 0:
-        x = int(choice[room])
-        if x:
-            out[x] = out.get(x, 0) + 1
-        room -= x or 1
-    return out
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 150, per_round: int = 32, rate: float = 3.0) -> list[tuple[float, dict[int, int]]]:
-    """(how often, configuration) of a fractional cover of the histogram, by multiplicative weights.
-
-    Each round prices the lengths and runs the knapsack once; its table gives the best configuration, and the best
-    one with each of the dearest lengths, of which those near the best are used."""
-    sizes = np.arange(capacity + 1)
-    n = np.zeros(capacity + 1)
-    for length, count in histogram.items():
-        n[length] = count
-    have, covered = n > 0, np.zeros(capacity + 1)
-    need = np.where(have, n, 1.0)
-    uses: dict[tuple, float] = {}
-    for _ in range(rounds):
-        share = covered / need
-        if not have.any() or share[have].min() >= 1:
-            break
-        # The price of a length falls with how far it is covered.
-        price = np.where(have, np.exp(-rate * np.minimum(share, 2.0)) * sizes, 0.0)
-        best, choice = knapsack(price, capacity)
-        dear = [int(x) for x in np.argsort(-price * (share < 1), kind="stable")[:per_round] if have[x] and share[x] < 1]
-        for x in [0, *dear]:
-            if x and price[x] + best[capacity - x] < 0.97 * best[capacity]:
-                continue
-            config = _filling(choice, capacity - x)
-            if x:
-                config[x] = config.get(x, 0) + 1
-            open_ = [(n[y] - covered[y]) / a for y, a in config.items() if covered[y] < n[y]]
-            amount = min([n[y] / a for y, a in config.items()]) * 0.5
-            amount = min([amount, *open_]) if open_ else 0
-            if amount <= 0:
-                continue
-            key = tuple(sorted(config.items()))
-            uses[key] = uses.get(key, 0.0) + amount
-            for y, a in config.items():
-                covered[y] += a * amount
-    return [(u, dict(k)) for k, u in sorted(uses.items(), key=lambda x: (-x[1], x[0]))]
-
-
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 150) -> list[tuple[int, dict[int, int]]]:
-    """(containers, configuration): the whole containers that hold every item of the histogram: the rounded solution of
-    the program, or, where rounding costs more than it gains, the rounding's last step alone."""
-    plans = [_rounded(histogram, capacity, solve(histogram, capacity, rounds)), _rounded(histogram, capacity, [])]
-    return min(plans, key=lambda p: sum(k for k, _ in p))
-
-
-def _rounded(histogram: dict[int, int], capacity: int, solution: list[tuple[float, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
-    left = dict(histogram)
-    out: list[tuple[int, dict[int, int]]] = []
+            best[c] = max(best[c], (worth[: ends[c]] + best[c - lengths[: ends[c]]]).max())
+    return best
+
+
+class Program:
+    """The configuration program of a histogram, solved by multiplicative weights.
+
+    It runs over a time from 0 to 1: at time t each length has to be covered to the share t of its items. What a length is
+    worth is its share of the capacity, to the power `spare` (short lengths fit anywhere and are spared), times exp(rate x
+    how far it lags behind); the knapsack's table over these prices bounds from above what any filling of any room is
+    worth. Each round goes through the lengths, longest first, and fills a container around each that lags with the
+    uncovered lengths that are worth most beside it; a filling that is worth less than 1 - eps of the best is put off
+    until prices have moved. Where rounds hardly cover anything more at time 1, eps grows,
+    so that every length is covered in the end.
+
+    uses: configuration -> how often, in shares of a container where items are few; bound: no packing needs fewer containers (the
+    greatest that any round's prices show by duality).
+    """
 
-    def use(config: dict[int, int], most: float) -> None:
-        k = int(min(most, min(left.get(x, 0) // a for x, a in config.items())))
-        if k > 0:
-            out.append((k, config))
-            for x, a in config.items():
-                left[x] -= a * k
-
-    for amount, config in solution:
-        use(config, amount)
-    # The rest: the longest item and what fits best beside it, as often as the items last.
-    while any(left.values()):
-        room, config = capacity, {}
-        for x in sorted((x for x, k in left.items() if k), reverse=True):
-            a = min(left[x], room // x)
-            if a:
-                config[x] = a
-                room -= a * x
-        use(config, float("inf"))
-    return out
+    def __init__(self, histogram: dict[int, int], capacity: int, step: float = 0.05, rate: float = 2.0, eps: float = 0.003, fine: int = 16, spare: float = 1.2) -> None:
+        self.capacity = capacity
+        self.sizes = np.array(sorted(x for x, k in histogram.items() if k > 0), np.int64)
+        count = np.array([histogram[int(x)] for x in self.sizes], np.int64)
+        self.uses: dict[tuple[tuple[int, int], ...], float] = {}
+        self.bound = 0.0
+        if not len(self.sizes):
+            return
+        self.bound = float((self.sizes * count).sum() / capacity)
+        scale = max(1, math.ceil(fine / float(np.median(count))))  # so fine are the shares
+        need, covered, t = count * scale, np.zeros(len(count), np.int64), 0.0
+        while (covered < need).any():
+            t = min(1.0, t + step)
+            price = (self.sizes / capacity) ** spare * np.exp(rate * np.clip(t - covered / need, 0, 1))
+            value = np.zeros(capacity + 1)
+            value[self.sizes] = price
+            best = knapsack(value, capacity)
+            self.bound = max(self.bound, float((price * count).sum() / best[capacity]))
+            before = covered.copy()
+            due = np.ceil(t * need - 1e-9).astype(np.int64)
+            gap = need - covered
+            for i in range(len(gap) - 1, -1, -1):
+                while covered[i] < due[i] and (config := self._around(i, gap, price, best, (1 - eps) * best[capacity])):
+                    amount = min(max(1, int(due[i] - covered[i]) // config[i]), *(int(gap[y]) // a for y, a in config.items()))
+                    key = tuple(sorted((int(self.sizes[y]), a) for y, a in config.items()))
+                    self.uses[key] = self.uses.get(key, 0.0) + amount / scale
+                    for y, a in config.items():
+                        gap[y] -= a * amount
+                        covered[y] += a * amount
+            if t == 1 and ((covered - before) * self.sizes).sum() < 0.05 * ((need - before) * self.sizes).sum():
+                eps *= 1.5
+
+    def _around(self, i: int, gap: np.ndarray, price: np.ndarray, best: np.ndarray, least: float) -> dict[int, int] | None:
+        """A filling around length i (places of lengths -> items) of those with a gap, worth at least so much, or None."""
+        config, worth, room = {i: 1}, float(price[i]), self.capacity - int(self.sizes[i])
+        spent = [i] if gap[i] <= 1 else []
+        while room > 0 and (end := int(np.searchsorted(self.sizes, room, "right"))):
+            may = np.where(gap[:end] > 0, price[:end] + best[room - self.sizes[:end]], -1.0)
+            may[[y for y in spent if y < end]] = -1.0
+            k = int(may.argmax())
+            if may[k] < 0 or worth + may[k] < least:
+                break
+            config[k] = config.get(k, 0) + 1
+            if config[k] >= gap[k]:
+                spent.append(k)
+            worth, room = worth + float(price[k]), room - int(self.sizes[k])
+        return config if worth >= least else None
+
+
+class _Stock:
+    """What is left of each length while containers are filled."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.left = {x: k for x, k in histogram.items() if k > 0}
+        self.order = sorted(self.left)
+
+    def longest(self, most: int, taken: dict[int, int]) -> int:
+        """The greatest length up to `most` of which more are left than taken, or 0."""
+        i = bisect_right(self.order, most) - 1
+        while i >= 0 and self.left[self.order[i]] <= taken.get(self.order[i], 0):
+            i -= 1
+        return self.order[i] if i >= 0 else 0
+
+    def top_up(self, config: dict[int, int], room: int) -> dict[int, int]:
+        while room > 0 and (x := self.longest(room, config)):
+            a = min(self.left[x] - config.get(x, 0), room // x)
+            config[x] = config.get(x, 0) + a
+            room -= a * x
+        return config
+
+    def copies(self, config: dict[int, int]) -> int:
+        return min(self.left.get(x, 0) // a for x, a in config.items())
+
+    def use(self, config: dict[int, int], k: int) -> tuple[int, dict[int, int]]:
+        for x, a in config.items():
+            self.left[x] -= a * k
+            if not self.left[x]:
+                del self.left[x]
+                self.order.pop(bisect_right(self.order, x) - 1)
+        return k, config
+
+
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], dict[str, float]]:
+    """(containers, figures): containers are (how many, configuration) and hold every item of the histogram; figures has the bound,
+    the program's value, and how many containers come from it.
+
+    Rounding: configurations go by in order, and shares of a container are carried from one to the next, so that as
+    many whole containers come out. One whose items have run out gets the next shorter ones, and what room is left is
+    filled with the longest that fit. Items beyond the last whole container are packed longest first.
+    """
+    program, stock = Program(histogram, capacity), _Stock(histogram)
+    out: list[tuple[int, dict[int, int]]] = []
+    carried = 0.0
+    for key, share in sorted(program.uses.items(), key=lambda u: u[0][::-1], reverse=True):
+        carried += share
+        k = int(carried + 1e-9)
+        carried -= k
+        whole = min(k, stock.copies(dict(key)))
+        if whole:
+            out.append(stock.use(dict(key), whole))
+        for _ in range(k - whole):
+            config: dict[int, int] = {}
+            for x, a in reversed(key):
+                for _ in range(a):
+                    y = stock.longest(x, config)
+                    if y:
+                        config[y] = config.get(y, 0) + 1
+            config = stock.top_up(config, capacity - sum(x * a for x, a in config.items()))
+            if config:
+                out.append(stock.use(config, 1))
+    made = sum(k for k, _ in out)
+    while stock.order:
+        config = stock.top_up({}, capacity)
+        out.append(stock.use(config, stock.copies(config)))
+    return out, {"bound": program.bound, "program": sum(program.uses.values()), "from_program": made, "containers": sum(k for k, _ in out)}
 
 
 def _place(intervals: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -162,7 +213,7 @@ def _place(intervals: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> C
     return run
 
 
-def pack(items: DataFrame, capacity: int = 2048, rounds: int = 150) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     """(container_id, doc_id, piece, tok_start, n_tokens) of items (doc_id, n_tokens).
 
     Items longer than the capacity are cut into full pieces, each a container of its own, and a rest; no other
@@ -178,7 +229,7 @@ def pack(items: DataFrame, capacity: int = 2048, rounds: int = 150) -> DataFrame
     intervals: dict[int, list[tuple[int, int, int]]] = {}
     done: dict[int, int] = {}
     container = 0
-    for k, config in plan(histogram, capacity, rounds):
+    for k, config in plan(histogram, capacity)[0]:
         for x, a in config.items():
             intervals.setdefault(x, []).append((done.get(x, 0), container, a))
             done[x] = done.get(x, 0) + a * k

@@ -45,26 +45,44 @@ def test_knapsack_against_all_fillings():
     rng = np.random.default_rng(1)
     for _ in range(40):
         value = np.concatenate([[0], rng.integers(0, 9, 12)]).astype(float)
-        best, choice = P.knapsack(value, 12)
+        best = P.knapsack(value, 12)
         want = max(sum(value[x] for x in c) for n in range(13) for c in itertools.combinations_with_replacement(range(1, 13), n) if sum(c) <= 12)
-        config = P._filling(choice, 12)
-        assert best[12] == want == sum(value[x] * a for x, a in config.items()) and sum(x * a for x, a in config.items()) <= 12
+        assert best[12] == want
 
 
 def test_small_cases_are_near_the_best():
     rng = np.random.default_rng(2)
     for _ in range(25):
         lengths = sorted(rng.integers(1, 20, 9).tolist(), reverse=True)
-        assert check(P.plan(histogram(lengths), 20), histogram(lengths), 20) <= brute_bins(lengths, 20) + 1
+        assert check(P.plan(histogram(lengths), 20)[0], histogram(lengths), 20) <= brute_bins(lengths, 20) + 1
 
 
 @pytest.mark.parametrize("low,high,slack", [(500, 1100, 1.06), (1, 2048, 1.01), (300, 900, 1.02)])
 def test_large_cases_are_near_the_bound(low, high, slack):
     lengths = np.random.default_rng(3).integers(low, high, 20_000)
-    used = check(P.plan(histogram(lengths), 2048), histogram(lengths), 2048)
+    used = check(P.plan(histogram(lengths), 2048)[0], histogram(lengths), 2048)
     assert used <= slack * math.ceil(lengths.sum() / 2048)
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+@pytest.mark.parametrize("low,high,slack", [(1, 2048, 1.002), (500, 1100, 1.06), (300, 900, 1.02)])
+def test_the_program_is_solved(low, high, slack, times):
+    """All mass is covered by configurations, the containers come from them, and they are near the program's bound."""
+    hist = {x: 10 * times for x in range(low, high + 1)}
+    program = P.Program(hist, 2048)
+    covered = {}
+    for key, share in program.uses.items():
+        assert sum(x * a for x, a in key) <= 2048
+        for x, a in key:
+            covered[x] = covered.get(x, 0.0) + a * share
+    mass = sum(min(covered.get(x, 0.0), k) * x for x, k in hist.items())
+    assert mass >= 0.999 * sum(x * k for x, k in hist.items())
+    out, figures = P.plan(hist, 2048)
+    used = check(out, hist, 2048)
+    assert used == figures["containers"] and figures["from_program"] >= 0.98 * used
+    assert math.ceil(sum(x * k for x, k in hist.items()) / 2048) <= math.ceil(figures["bound"] - 1e-6) <= used <= slack * figures["bound"] + 1
+
+
 def test_items_are_placed_whole(spark):
     rows = [(1, 5), (2, 10), (3, 23), (4, 0), (5, None), (6, 10), (6, 10), (None, 3), (7, 1_000_003)] + [(i, 7) for i in range(100, 400)]
     out = P.pack(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, n_tokens int, piece int, salt int"), capacity=10)
