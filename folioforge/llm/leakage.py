@@ -29,7 +29,10 @@ from folioforge.llm.names import edit_distance, reach
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 7), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8))
 #: Documents are searched some at a time: so many tokens, with gaps wider than any mask.
 CHUNK, GAP = 200_000, 16
-_TOKEN = re.compile(r"[^\W_]+")
+#: Scripts written without spaces: each of their characters is a token, two of them count as a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+_IS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _WORD = re.compile(r"\S+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\n\s*(?=[^\W\d_])")
 _END = re.compile(r"[.!?…。！？।؟]['\"»”’)\]]*$")
@@ -66,7 +69,13 @@ class Item:
             found = _TOKEN.findall(m.group())
             if found:
                 self.tokens += found
-                self.word += [self.n_words] * len(found)
+                half = 0  # of a word of an unspaced script
+                for i, t in enumerate(found):
+                    unspaced = bool(_IS_UNSPACED.match(t))
+                    if i and (unspaced or half) and half != 1:
+                        self.n_words += 1
+                    half = half % 2 + 1 if unspaced else 0
+                    self.word.append(self.n_words)
                 if _END.search(m.group()):
                     self.ends.add(self.n_words)
                 self.n_words += 1
@@ -131,12 +140,16 @@ class Index:
         for it in items:
             for t in it.tokens:
                 self.ids.setdefault(t, len(self.ids) + 1)
-        rng = np.random.default_rng(7)
-        self.factors = rng.integers(1, 2**63, size=(len(MASKS), 8), dtype=np.uint64) | np.uint64(1)
+        # Items that are too short to hold a window of each mask are sought whole.
+        self.short = {k: n for k, it in enumerate(items) if 0 < (n := len(it.tokens)) <= MASKS[-1][-1]}
+        self.masks = (*MASKS, *(tuple(range(n)) for n in sorted(set(self.short.values()))))
+        self.factors = np.random.default_rng(7).integers(1, 2**63, size=(len(self.masks), 8), dtype=np.uint64) | np.uint64(1)
         parts: list[list[np.ndarray]] = [[], [], []]
         for k, it in enumerate(items):
             ids = np.fromiter((self.ids[t] for t in it.tokens), np.uint64, len(it.tokens))
-            for m in range(len(MASKS)):
+            for m in range(len(self.masks)):
+                if m >= len(MASKS) and len(self.masks[m]) != self.short.get(k):
+                    continue
                 h, ok = self.seeds(ids, m)
                 parts[0].append(h[ok])
                 parts[1].append(np.full(int(ok.sum()), k))
@@ -150,11 +163,11 @@ class Index:
 
     def seeds(self, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the masked window at each position, and whether all its selected tokens are known."""
-        n = len(ids) - MASKS[m][-1]
+        n = len(ids) - self.masks[m][-1]
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         h, ok = np.full(n, np.uint64(m + 1)), np.ones(n, bool)
-        for k, o in enumerate(MASKS[m]):
+        for k, o in enumerate(self.masks[m]):
             part = ids[o : o + n]
             ok &= part > 0
             h = (h ^ (part * self.factors[m, k])) * np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +177,7 @@ class Index:
     def hits(self, ids: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], set[tuple[int, int]]]:
         """(document, item) -> the pairs (document position, item position) where seeds meet; starts: where documents begin."""
         out: dict[tuple[int, int], set[tuple[int, int]]] = {}
-        for m in range(len(MASKS)):
+        for m in range(len(self.masks)):
             h, ok = self.seeds(ids, m)
             places = np.flatnonzero(ok & self.sieve[h >> np.uint64(44)]) if len(h) else np.zeros(0, int)
             if not len(places):
@@ -198,7 +211,9 @@ def _densest(covered: np.ndarray, plain_word: np.ndarray) -> int:
 
 
 def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int = 6) -> tuple[int, float]:
-    """(words of the longest run of the item found in the document, formulas aside; share of its words found in stretches)."""
+    """(words of the longest run of the item found in the document, formulas aside; share of its words found in stretches).
+    Stretches of fewer than `least` tokens don't count, unless the item itself is shorter."""
+    least = min(least, len(it.tokens))
     segments: list[tuple[int, int, int, int, set[int]]] = []
     active: list[tuple[int, int, int, int, set[int]]] = []  # those that reach as far as the hit at hand
     short: set[tuple[int, int]] = set()  # places whose alignment is known to be too short
@@ -244,7 +259,7 @@ def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int
         if last not in by_word or words > by_word[last][0]:
             by_word[last] = (words, covered)
         best = max(best, words)
-        if words >= least:
+        if words >= min(least, it.n_words):
             all_found |= covered
     return best, float(all_found[plain_word].mean()) if plain_word.any() else 0.0
 
@@ -291,7 +306,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 20, whole: float
     on end of the item, or the share `whole` of all its words, intact or recognisable.
 
     docs: doc_id, text; items: item_id, text. Case, accents, punctuation, line breaks, kinds of characters, misprints and
-    single stray or missing words don't matter; the item's sentences may lie apart. Words of formulas
+    single stray or missing words don't matter; the item's sentences may lie apart. Scripts without spaces are compared by
+    character, two of which count as a word; items of up to eight tokens are sought as they are. Words of formulas
     (windows of `formula_window` tokens in more than `formula_share` of all items, 5 at least) aren't counted. Null and
     blank texts hold nothing; items or documents that stand twice are reported once; empty tables give
     an empty result. Items are sent in blocks of about block_words words, so any number of them can be searched.

@@ -81,3 +81,32 @@ def test_few_seeds(spark):
     every_fourth = [misprint(w) if i % 4 == 3 else w for i, w in enumerate(item[:20])]
     docs = [(i, " ".join([*words(15), *c, *words(15)])) for i, c in enumerate((apart, every_fourth))]
     assert run(spark, docs, [(1, " ".join(item))]) == {(0, 1), (1, 1)}
+
+
+def test_few_tokens_and_unspaced_scripts(spark):
+    chinese = "本書は明治時代の文学を研究した論文集であり、著者は東京の出身である。初版は千九百二十年に刊行された。"
+    items = [(1, "Quatre mots fort rares"), (2, chinese), (3, "Mot"), (4, "...")]
+    docs = [
+        (1, "Il y a quatre mots fort rares ici."), (2, "quatre mots rares fort"), (3, "前書き。" + chinese + "次の章。"), (4, "論文集であり、東京の"), (5, "un MOT."), (6, chinese.replace("文学", "哲学")), (7, "ไม่มี " * 9),
+    ]
+    assert run(spark, docs, items) == {(1, 1), (3, 2), (5, 3), (6, 2)}
+
+
+def test_recall_by_rate_of_misprints():
+    """Passages of 25 words with misprints in a given share of them, by the alignment itself: what must be found is."""
+    rng = random.Random(4)
+    found = {}
+    for rate in (0.0, 0.1, 0.2, 0.3):
+        n = 0
+        for _ in range(60):
+            item = words(60, rng)
+            at = rng.randrange(35)
+            passage = [misprint(w) if rng.random() < rate else w for w in item[at : at + 25]]
+            it = L.Item(1, " ".join(item))
+            index = L.Index([it])
+            doc = L._TOKEN.findall(L.plain(" ".join([*words(20, rng), *passage, *words(20, rng)])))
+            ids = L.np.array([index.ids.get(t, 0) for t in doc], L.np.uint64)
+            hits = index.hits(ids, L.np.array([0])).get((0, 0), set())
+            n += bool(hits) and L.longest_run(doc, it, hits)[0] >= 20
+        found[rate] = n / 60
+    assert found[0.0] == 1 and found[0.1] >= 0.98 and found[0.2] >= 0.95 and found[0.3] >= 0.95, found
