@@ -39,7 +39,11 @@ _PAIRS = {"«": "»", "„": "“", "“": "”", "「": "」", "『": "』", "
 _CLOSERS = set(_PAIRS.values())
 _OPENERS = set(_PAIRS)
 _OPEN_SIGNS, _CLOSE_SIGNS = "".join(_OPENERS), "".join(_CLOSERS)
-_STOPS = ".!?…。！？।॥؟۔"
+#: Final stops, those of scripts whose words or sentences needn't be parted by spaces, and further ones.
+_WIDE = "。！？｡．។៕။།༎"
+_OTHER = "։፧።᠃᠉‽⁇⁈⁉꓿꘎꘏꛳꛷꡶꡷꣎꣏"
+_STOPS = ".!?…।॥؟۔" + _WIDE + _OTHER
+_FOREIGN = set(_WIDE[3:] + _OTHER)
 _THAI = "฀-๿"
 _MARK = re.compile(rf'[{_STOPS};;]+|[«»„“”「」『』《》〈〉()（）\[\]"]|(?<=[{_THAI}0-9])[^\S\n]+(?=[{_THAI}])')
 _IN_THAI = re.compile(f"[{_THAI}]")
@@ -151,6 +155,8 @@ def _before(word: str) -> str:
 def _left(text: str, start: int, at: int, stop: str) -> tuple[str, str]:
     """(key, shape) of the word before a stop at a place."""
     stop = "…" if stop.startswith("..") else stop[0]
+    if stop in _FOREIGN:  # what is learned of one such stop holds for the others, where they are rare
+        return f"stop|{stop}", "cjk|。"
     words = text[max(start, at - 60) : at].split()
     last = words[-1].lstrip(_OPEN_SIGNS) if words else ""
     if not last:
@@ -234,7 +240,7 @@ def places(text: str, start: int, end: int) -> tuple[list[Place], tuple[str, str
             final = left
             break
         after, _ = _strip(text, at, end)
-        wide = ch[0] in "。！？" or i in close and inner in "。！？"
+        wide = ch[0] in _WIDE or i in close and inner in _WIDE
         if after == at and not wide and left[0] != "thai":
             continue
         if text[after] in ",;:)»”」』，；：、،؛!?.…":

@@ -97,3 +97,10 @@ def test_posteriors_sum_over_all_choices():
             for i, c in enumerate(choice):
                 mass[i] += w * c
         assert S._posteriors(chain, close) == pytest.approx([m / total for m in mass])
+
+
+@pytest.mark.parametrize("parts,sep", [(["Գիրքը տպագրվել է Երևանում։", "Հեղինակը հայտնի չէ։", "Ձեռագիրը կորել է։"], " "), (["សៀវភៅនេះត្រូវបានបោះពុម្ព។", "អ្នកនិពន្ធមិនស្គាល់។", "ទំព័រខ្លះបាត់។"], ""), (["መጽሐፉ ታተመ።", "ደራሲው አይታወቅም።"], " ")])
+def test_stops_of_scripts_that_were_not_trained(model, parts, sep):
+    """What is learned of stops holds for those of scripts that the documents don't have."""
+    text = sep.join(parts)
+    assert [text[s:e] for s, e in S.split_text(text, model)] == parts
