@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.components import connected_components
 from folioforge.llm.confusables import same_look
-from folioforge.llm.fusion import best_members
+from folioforge.llm.fusion import best_members, fused_records
 from folioforge.llm.leakage import find_leaks
 from folioforge.llm.names import link_names, pairs_of
 from folioforge.llm.packing import pack, token_counts
@@ -71,6 +71,11 @@ def p5_representatives(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("cluster_id", "best_id", F.round("support", 6).alias("support"), "dominant", "n_members")
 
 
+def p5_fused(spark: SparkSession, folder: str) -> DataFrame:
+    fused = fused_records(table(spark, folder, "cluster_result"), table(spark, folder, "test_honorific"), table(spark, folder, "provenance_level"))
+    return fused.select("cluster_id", "field", "value", F.round("posterior", 6).alias("posterior"), "n_values")
+
+
 def match_links(spark: SparkSession, folder: str) -> DataFrame:
     """The links between ARKs (a, b) of cluster results and of script-made 90F zones."""
     results = table(spark, folder, "cluster_result").select(clean_ark(F.col("anchor_ark")).alias("a"), F.explode("clustered_arks").alias("b")).select("a", clean_ark(F.col("b")).alias("b"))
@@ -98,4 +103,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p5_found, p5_representatives, p7_found, p8_packing, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p5_found, p5_representatives, p5_fused, p7_found, p8_packing, p9_found, p10_found)}

@@ -84,13 +84,39 @@ def test_accuracies_and_copying_are_found():
 
 
 def test_copied_votes_are_discounted():
-    free = U._weights([0.6] * 3, {})
-    tied = U._weights([0.6] * 3, {(0, 1): 1.0})
+    free = U._weights(range(8), [0.6] * 3, {})
+    tied = U._weights(range(8), [0.6] * 3, {(0, 1): 1.0})
     assert tied[0b011] < free[0b011] and tied[0b101] == pytest.approx(free[0b101])
 
 
 def test_posteriors_sum_to_one():
     for masks in itertools.combinations(range(1, 8), 2):
-        w = U._weights([0.9, 0.7, 0.5], {})
+        w = U._weights(range(8), [0.9, 0.7, 0.5], {})
         p = U._posteriors(list(masks), [1, 1], w)
         assert 0 < sum(p) <= 1
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [("12", 1, "A", 1, None, {"150": "t"}), ("1", 2, "A", 1, None, {"150": "t"}), ("9", 3, "A", 1, None, {"150": "t"})]
+    assert run(spark, [(1, "12", ["1"]), (2, "9", ["12"])], rows).keys() == {1, 2}
+    got = run(spark, [(1, "12", ["1"]), (2, "9", ["12"])], rows)
+    assert (got[1].best_id, got[2].best_id) == ("1", "12") and got[1].most_supported == "1"
+
+
+def test_fused_records_and_copied_votes(spark):
+    """Two sources that always make the same mistakes are outvoted by two that don't, one field at a time; many sources are allowed."""
+    levels = [(p, i) for i, p in enumerate("ABCD")] + [(f"s{i}", 9) for i in range(30)]
+    rows, clusters = [], []
+    for k in range(60):
+        wrong = k % 3 == 0
+        for j, p in enumerate("ABCD"):
+            value = f"false {k}" if wrong and p in "AB" else f"true {k}"
+            if p == "D" and k % 2:
+                value = f"own {k}"
+            rows.append((f"{k}-{p}", len(rows), p, 1, None, {"150": value}))
+        clusters.append((k, f"{k}-A", [f"{k}-{p}" for p in "BCD"]))
+    c = spark.createDataFrame([(*x, "clash") for x in clusters], "cluster_id long, anchor_id string, clustered_ids array<string>, best_id string")
+    out = U.fused_records(c, entity(spark, rows), spark.createDataFrame(levels, "provenance string, level int")).filter("field = '150'").collect()
+    got = {r.cluster_id: r.value for r in out}
+    assert len(out) == 60 and all(got[k] == f"150$a=true {k}" for k in range(60) if k % 2 == 0)
+    assert all(0 < r.posterior <= 1 for r in out)
