@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import ILLUSTRATION_TERMS
+from folioforge.functions.text import ILLUSTRATION_TERMS, normalize_match
 
 #: Words that don't count as parts of a name, and terms of responsibility near it.
 STOP_TOKENS = ("de", "la", "le", "les", "du", "des", "d")
@@ -75,7 +75,7 @@ def context_score(norm: str, start: int, end: int) -> float:
     return min(1.0, score)
 
 
-def _scan(least: float, high: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(least: float, high: float, telling: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["id", "ark", "variant", "score", "start", "end", "snippet", "confidence"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def _scan(least: float, high: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
             rows = []
             for key, title, ark, variant in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 useful = [t for t in matching_form(variant).split(" ") if t and t not in STOP_TOKENS]
-                if len(useful) < 2:
+                if len(useful) < telling:
                     continue
                 norm, _ = folded_map(title)
                 for s, e, a, b in occurrences(title, variant):
@@ -97,11 +97,18 @@ def _scan(least: float, high: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def find_names(titles: DataFrame, least: float = 0.65, high: float = 0.85) -> DataFrame:
+def holds_name(title: Column, variant: Column) -> Column:
+    """Whether the matching form of a title holds that of a name, which no name without letters has."""
+    return F.contains(normalize_match(title), normalize_match(variant)) & (normalize_match(variant) != "")
+
+
+def find_names(titles: DataFrame, least: float = 0.65, high: float = 0.85, telling: int = 2) -> DataFrame:
     """Occurrences of names in titles (id, title, ark, variant): id, ark, variant, score, start, end, snippet, confidence.
-    Names of fewer than two telling tokens are never looked for. Null titles and names have none."""
-    return titles.filter("title is not null and variant is not null").select("id", "title", "ark", "variant").mapInArrow(
-        _scan(least, high), "id string, ark string, variant string, score double, start int, end int, snippet string, confidence string"
+    Names of fewer than so many telling tokens are never looked for. Null titles and names have none. Only titles that hold the name
+    go through Python, for its places."""
+    pairs = titles.filter("title is not null and variant is not null").select("id", "title", "ark", "variant")
+    return pairs.filter(holds_name(F.col("title"), F.col("variant"))).mapInArrow(
+        _scan(least, high, telling), "id string, ark string, variant string, score double, start int, end int, snippet string, confidence string"
     )
 
 
@@ -161,3 +168,16 @@ def clean_titles(titles: DataFrame) -> DataFrame:
     maybe = F.col("illustrated") | (F.size(F.coalesce("variants", F.array().cast("array<string>"))) > 0)
     dirty = marked.filter(maybe).select("id", "title", "variants", "illustrated").mapInArrow(_clean, "id string, cleaned_title string")
     return marked.filter(~maybe).select("id", F.col("title").alias("cleaned_title")).unionByName(dirty)
+
+
+def contamination(works: DataFrame, names: DataFrame, cleaned: DataFrame, least: float = 0.65, high: float = 0.85) -> DataFrame:
+    """The report of names in titles: id_entitelrm, work_ark, title, cleaned_title, author_ark, matched_variant, score, snippet,
+    confidence. works: id, ark, title; names: id, title, ark, variant, those of each work's own agents; cleaned: see clean_titles."""
+    found = find_names(names, least, high).select("id", F.col("ark").alias("author_ark"), F.col("variant").alias("matched_variant"), "score", "snippet", "confidence")
+    known = works.select("id", F.col("ark").alias("work_ark"), "title")
+    return found.join(known, "id").join(cleaned, "id", "left").select(F.col("id").alias("id_entitelrm"), "work_ark", "title", "cleaned_title", "author_ark", "matched_variant", "score", "snippet", "confidence")
+
+
+def write_report(records: DataFrame, path: str) -> None:
+    """Write the report as JSON, one record a line, null fields included."""
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

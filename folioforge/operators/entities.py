@@ -15,19 +15,28 @@ from folioforge.operators import record as R
 WORK, EXPRESSION, MANIFESTATION = "oeuvre", "expression", "manifestation"
 
 
-def last_rows(rows: DataFrame) -> DataFrame:
-    """Of each id the row with the largest row_idx. Only the two keys are shuffled to find it."""
+def last_rows(rows: DataFrame, slim: DataFrame | None = None) -> DataFrame:
+    """Of each id the row with the largest row_idx. What is joined on row_idx is shuffled as it is: where only parts of the records
+    are needed, give them as slim (row_idx and more, of the same rows)."""
     keep = rows.groupBy("id_entitelrm").agg(F.max("row_idx").alias("row_idx")).select("row_idx")
-    return rows.join(keep, "row_idx", "left_semi")
+    return (rows if slim is None else slim).join(keep, "row_idx", "left_semi")
 
 
-def first_rows(rows: DataFrame) -> DataFrame:
+def first_rows(rows: DataFrame, slim: DataFrame | None = None) -> DataFrame:
     keep = rows.groupBy("id_entitelrm").agg(F.min("row_idx").alias("row_idx")).select("row_idx")
-    return rows.join(keep, "row_idx", "left_semi")
+    return (rows if slim is None else slim).join(keep, "row_idx", "left_semi")
 
 
-def index_records(rows: DataFrame) -> DataFrame:
-    """row_idx, id, type_norm, ark (first 001$a), zones. Null or broken records have null zones and ark."""
+def index_records(rows: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """row_idx, id, type_norm, ark (first 001$a), zones (of these codes, if any are given). Null or broken records have null zones and
+    ark."""
+    every = _index(rows)
+    if codes is None:
+        return every
+    return every.withColumn("zones", F.filter("zones", lambda z: z["code"].isin(*codes)) if codes else F.when(F.col("zones").isNotNull(), F.array().cast(R.ZONES)))
+
+
+def _index(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("zones", R.parse_zones(F.col("intermarc")))
         .select("row_idx", F.col("id_entitelrm").alias("id"), R.normalize_type(F.col("type_entite")).alias("type_norm"), "zones")
@@ -126,7 +135,9 @@ def move_parent(zones: Column, old: Column, new: Column) -> Column:
 
 def serialize(zones: Column) -> Column:
     """JSON text of zones with `, ` and `: ` as separators, non-ASCII kept, null values as empty text."""
-    q = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\t", r"\\t"), F.lit('"'))
+    # The text of a list of one, without its brackets: the built-in writer escapes quotes, backslashes and control characters.
+    text = lambda c: F.to_json(F.array(F.coalesce(c, F.lit(""))))
+    q = lambda c: F.substring(text(c), F.lit(2), F.length(text(c)) - 2)
     sub = lambda s: F.concat(F.lit('{"code": '), q(s["code"]), F.lit(', "valeur": '), q(s["valeur"]), F.lit("}"))
     zone = lambda z: F.concat(F.lit('{"code": '), q(z["code"]), F.lit(', "sousZones": ['), F.array_join(F.transform(F.coalesce(z["sousZones"], F.array()), sub), ", "), F.lit("]}"))
     return F.concat(F.lit('{"zones": ['), F.array_join(F.transform(F.coalesce(zones, F.array().cast(R.ZONES)), zone), ", "), F.lit("]}"))

@@ -9,7 +9,7 @@ from folioforge.operators import record as R
 
 #: Zones of agents, and the subfields of a name in a record's own zone.
 AGENT_ZONES = ("700", "701", "702", "710", "711", "712")
-NAME_PARTS = tuple("abcdfghmnpq")
+NAME_PARTS = ("a", "b", "c", "d", "f", "g", "h", "m", "n", "p", "q")
 _ANY_ARK = r"ark:/[^\s]+"
 
 

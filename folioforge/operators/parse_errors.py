@@ -221,7 +221,7 @@ def examine(line: str | None, fields: int = 3, shape: re.Pattern | None = None)
         found = cheapest_edits(line, fields)
         if found is None:
             return "shape: line break outside quotes", None
-        return "shape: " + ", ".join(found[1][:5]) + (f" and {found[0] - 5} more" if found[0] > 5 else ""), None
+        return "shape: " + ", ".join(found[1]), None
     values = split_record(line)
     if not re.fullmatch(r"[0-9]+", values[0]):
         return "id: not ASCII digits", None

@@ -21,8 +21,9 @@ def display_title(zones):
 
 
 def ark_index(records: DataFrame) -> DataFrame:
-    """(ark, id, title) of records by ARK; of several the last row counts."""
-    return records.filter("ark <> ''").groupBy("ark").agg(F.max_by(F.struct("id", R.first(F.col("zones"), "150", "a").alias("title")), "row_idx").alias("r")).select("ark", "r.id", "r.title")
+    """(ark, id, title) of records by each ARK of their 001 zones; of several records the last row counts."""
+    own = F.array_distinct(F.filter(R.values(F.col("zones"), "001", "a"), lambda a: a != ""))
+    return records.select("row_idx", "id", "zones", F.explode(own).alias("ark")).groupBy("ark").agg(F.max_by(F.struct("id", R.first(F.col("zones"), "150", "a").alias("title")), "row_idx").alias("r")).select("ark", "r.id", "r.title")
 
 
 def cluster_items(curated: DataFrame, original: DataFrame) -> DataFrame:
@@ -119,9 +120,9 @@ def unclustered_counts(works: DataFrame, records: DataFrame) -> DataFrame:
 
 #: Zones of general relationships by type.
 RELATIONSHIPS = {
-    E.WORK: tuple("500 501 506 509 50N 54T 550 551 552 553 554 555 556 557 559 55A 55B 55C 55E 55F 55M 55P 55R 55S 55Z".split()),
-    E.EXPRESSION: tuple("501 506 509 50N 540 541 542 543 544 547 54C 54P 54T".split()),
-    E.MANIFESTATION: tuple("501 506 509 50N 530 531 532 533 534 535 536 537 538 53M".split()),
+    E.WORK: ("500", "501", "506", "509", "50N", "54T", "550", "551", "552", "553", "554", "555", "556", "557", "559", "55A", "55B", "55C", "55E", "55F", "55M", "55P", "55R", "55S", "55Z"),
+    E.EXPRESSION: ("501", "506", "509", "50N", "540", "541", "542", "543", "544", "547", "54C", "54P", "54T"),
+    E.MANIFESTATION: ("501", "506", "509", "50N", "530", "531", "532", "533", "534", "535", "536", "537", "538", "53M"),
 }
 
 
@@ -163,6 +164,32 @@ def key_problems(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("problem"), "n") for k, df in parts.items()])
 
 
+def cluster_of_works(items: DataFrame) -> DataFrame:
+    """(kind, key, anchor_id): the first cluster, in order of anchors, that each work is in, by its id and by its ARK."""
+    pick = lambda kind, c, place: items.select(F.lit(kind).alias("kind"), F.col(c).alias("key"), "anchor_id", F.struct("anchor_row", F.lit(place).alias("p")).alias("k"))
+    every = pick("id", "anchor_id", 0).unionByName(pick("id", "item_id", 1)).unionByName(pick("ark", "anchor_ark", 0)).unionByName(pick("ark", "item_ark", 1))
+    return every.filter("key <> ''").groupBy("kind", "key").agg(F.min_by("anchor_id", "k").alias("anchor_id"))
+
+
+def cluster_of_expressions(items: DataFrame, expressions: DataFrame) -> DataFrame:
+    """(kind, key, anchor_id, role): the first cluster that each expression is in, by its id and by its ARK; within a cluster the
+    anchor's own expressions come first, then clustered, then independent ones."""
+    anchors = items.select("anchor_id", "anchor_row").distinct()
+    rank = F.when(F.col("role") == "anchor", 0).when(F.col("role") == "clustered", 1).otherwise(2)
+    placed = expressions.join(anchors, "anchor_id").select("anchor_id", "role", "expression_id", "expression_ark", F.struct("anchor_row", rank.alias("r")).alias("k"))
+    pick = lambda kind, c: placed.select(F.lit(kind).alias("kind"), F.col(c).alias("key"), F.struct("anchor_id", "role").alias("v"), "k")
+    every = pick("id", "expression_id").unionByName(pick("ark", "expression_ark")).filter("key <> ''")
+    return every.groupBy("kind", "key").agg(F.min_by("v", "k").alias("v")).select("kind", "key", "v.anchor_id", "v.role")
+
+
+def equal_where_given(df: DataFrame, **wanted: object) -> DataFrame:
+    """The rows that equal what is wanted in each column; None stands for anything."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.filter(F.col(f"`{column}`") == value)
+    return df
+
+
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """items with `accepted` by decisions (anchor_id, item_ark, accepted); undecided ones are accepted, a rejected one loses its date."""
     d = decisions.select("anchor_id", "item_ark", F.col("accepted").alias("_a"))

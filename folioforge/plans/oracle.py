@@ -108,7 +108,7 @@ ITEMS = f"""
 item AS (SELECT l.id AS anchor_id, coalesce(r.ark, '') AS anchor_ark, l.row_idx AS anchor_row, l.ord, l.ark AS item_ark, l.date, coalesce(k.id, f.id) AS item_id, CASE WHEN k.id IS NOT NULL THEN k.title ELSE f.title END AS item_title
   FROM c_link l JOIN c_rec r USING (row_idx)
   LEFT JOIN (SELECT r.ark, arg_max(r.id, r.row_idx) AS id, arg_max(coalesce(t.title, chr(0)), r.row_idx) AS t0, nullif(arg_max(coalesce(t.title, chr(0)), r.row_idx), chr(0)) AS title FROM c_rec r LEFT JOIN ({zone_text('c', '150')}) t USING (row_idx) WHERE r.type_norm = 'oeuvre' AND r.ark <> '' GROUP BY r.ark) k ON k.ark = l.ark
-  LEFT JOIN (SELECT r.ark, arg_max(r.id, r.row_idx) AS id, nullif(arg_max(coalesce(t.v, chr(0)), r.row_idx), chr(0)) AS title FROM o_rec r LEFT JOIN ({first('o', '150$a')}) t USING (row_idx) WHERE r.ark <> '' GROUP BY r.ark) f ON f.ark = l.ark
+  LEFT JOIN (SELECT r.ark, arg_max(r.id, r.row_idx) AS id, nullif(arg_max(coalesce(t.v, chr(0)), r.row_idx), chr(0)) AS title FROM (SELECT DISTINCT row_idx, id, v AS ark FROM o_sub WHERE zcode = '001' AND code = '001$a' AND v <> '') r LEFT JOIN ({first('o', '150$a')}) t USING (row_idx) GROUP BY r.ark) f ON f.ark = l.ark
   WHERE l.type_norm = 'oeuvre')"""
 EXPRESSIONS = """
 own AS (SELECT i.anchor_id, i.anchor_ark, x.row_idx AS x_row, x.ord AS x_ord, x.id AS x_id, x.ark AS x_ark FROM (SELECT DISTINCT anchor_id, anchor_ark FROM item) i JOIN c_xe x ON x.work_ark = i.anchor_ark),
@@ -224,7 +224,7 @@ SQL: dict[str, str] = {
     "base_ids": with_(SEEDS, HOP) + " SELECT id FROM base",
     "base_rows": with_(SEEDS, HOP) + " SELECT row_idx, id_entitelrm FROM brow",
     "ark_hits": "SELECT row_idx, hit, count(*) AS n FROM (SELECT row_idx, unnest(regexp_extract_all(intermarc, 'ark:/12148/cb([0-9a-z]+)', 1, 'i')) AS hit FROM test_honorific) GROUP BY ALL",
-    "extract_neighbourhood": with_(SEEDS, HOP) + " SELECT row_idx, id_entitelrm, type_entite FROM test_honorific WHERE id_entitelrm IN (SELECT CAST(id AS VARCHAR) FROM base UNION SELECT CAST(id AS VARCHAR) FROM said)",
+    "extract_neighbourhood": with_(SEEDS, HOP) + " SELECT row_idx, id_entitelrm, type_entite, row_number() OVER (ORDER BY try_cast(id_entitelrm AS BIGINT), row_idx) AS rank FROM test_honorific WHERE id_entitelrm IN (SELECT CAST(id AS VARCHAR) FROM base UNION SELECT CAST(id AS VARCHAR) FROM said)",
     "stage_counts": with_(SEEDS, HOP) + "".join(f"{' UNION ALL' if i else ''} SELECT '{s}' AS stage, count(*) AS n FROM {t}" for i, (s, t) in enumerate((("ids", "ids"), ("hop_750", "h750"), ("hop_740", "h740"), ("base_ids", "base"), ("base_rows", "brow"), ("mentioned", "said")))),
     "normalize_title": with_(C, CW) + " SELECT id, title_key FROM c_work WHERE title IS NOT NULL",
     "work_groups": with_(C, CW) + " SELECT c015, c700, title_key, n, first_row FROM c_group WHERE n > 1",
@@ -236,7 +236,7 @@ SQL: dict[str, str] = {
     "cluster_expressions": with_(C, CW, CE, CL, PAIRS) + ", able AS (SELECT * FROM pair p WHERE c_ark <> '' AND NOT EXISTS (SELECT 1 FROM c_raw l WHERE l.id = p.a_id AND l.a = p.c_ark AND lower(q) = 'clusterisation script')) SELECT arg_min(anchor_id, k) AS anchor_work_id, arg_min(a_id, k) AS anchor_expression_id, c_id AS expression_id, any_value(c_ark) AS expression_ark FROM (SELECT *, (key_row, first_row, member_row, a_row, a_ord, a_id, c_row, c_ord) AS k FROM able) GROUP BY c_id",
     "expressions_by_work": with_(C, CE) + " SELECT work_ark, count(*) AS n, min(row_idx) AS first_row FROM c_xe GROUP BY work_ark",
     "merge_updates": with_(C, CW) + ", n AS (SELECT id, count(*) AS k FROM c_zone WHERE zcode = '90F' GROUP BY id), m AS (SELECT anchor_id AS id, count(*) AS k FROM c_member GROUP BY anchor_id), z AS (SELECT DISTINCT id FROM c_zone) SELECT r.id, CASE WHEN z.id IS NOT NULL THEN coalesce(n.k, 0) + coalesce(m.k, 0) END AS n_links FROM c_rec r LEFT JOIN n USING (id) LEFT JOIN m USING (id) LEFT JOIN z ON z.id = r.id",
-    "export_curated": with_(C, CW) + f", m AS (SELECT DISTINCT anchor_id AS id FROM c_member) SELECT h.row_idx, h.id_entitelrm, h.type_entite, CASE WHEN intermarc IS NOT NULL THEN m.id IS NOT NULL END AS updated FROM ({CURATED}) h LEFT JOIN m ON m.id = h.id_entitelrm",
+    "export_curated": with_(C, CW, SERIAL) + f", m AS (SELECT DISTINCT anchor_id AS id FROM c_member) SELECT h.row_idx, h.id_entitelrm, h.type_entite, CASE WHEN intermarc IS NOT NULL THEN m.id IS NOT NULL END AS updated, CASE WHEN m.id IS NULL THEN md5(coalesce(ser.t, intermarc)) END AS digest FROM ({CURATED}) h LEFT JOIN m ON m.id = h.id_entitelrm LEFT JOIN ser ON ser.id = h.id_entitelrm",
     "detect_clusters": with_(C, O, CL, ITEMS) + " SELECT anchor_id, anchor_ark, ord, item_ark, date, item_id, item_title FROM item",
     "expression_groups": with_(*REVIEW) + " SELECT anchor_id, role, expression_id, expression_ark, work_ark FROM every WHERE role <> 'independent'",
     "independent_expressions": with_(*REVIEW) + " SELECT anchor_id, expression_id, expression_ark, work_ark FROM every WHERE role = 'independent'",
@@ -244,12 +244,13 @@ SQL: dict[str, str] = {
     "is_clustered": with_(*REVIEW, OE) + """, t AS (SELECT *, CASE type_norm WHEN 'oeuvre' THEN 'work' ELSE type_norm END AS k FROM o_rec WHERE type_norm IN ('oeuvre', 'expression', 'manifestation'))
 SELECT id, type_norm, (EXISTS (SELECT 1 FROM cover c WHERE c.kind = k || '_id' AND c.key = t.id) OR EXISTS (SELECT 1 FROM cover c WHERE c.kind = k || '_ark' AND c.key = t.ark))
   AND (type_norm <> 'manifestation' OR NOT EXISTS (SELECT 1 FROM o_me m WHERE m.row_idx = t.row_idx AND m.expression_ark <> '' AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'manifestation_of' AND c.key = m.expression_ark || ' ' || m.id))) AS clustered FROM t""",
-    "unclustered_works": with_(*REVIEW) + f" SELECT r.id, coalesce(title, r.id) AS title FROM o_rec r LEFT JOIN ({zone_text('o', '150')}) USING (row_idx) WHERE type_norm = 'oeuvre' AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'work_id' AND c.key = r.id) AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'work_ark' AND c.key = r.ark)",
+    "unclustered_works": with_(*REVIEW) + f" SELECT r.id, coalesce(title, r.id) AS title, row_number() OVER (ORDER BY lower(coalesce(title, r.id)) COLLATE fr, r.id) AS rank FROM o_rec r LEFT JOIN ({zone_text('o', '150')}) USING (row_idx) WHERE type_norm = 'oeuvre' AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'work_id' AND c.key = r.id) AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'work_ark' AND c.key = r.ark)",
     "work_counts": with_(*REVIEW) + ", m AS (SELECT expression_ark, count(*) AS k FROM c_me GROUP BY expression_ark) SELECT anchor_id, work_ark, count(*) AS expressions, CAST(sum(coalesce(k, 0)) AS BIGINT) AS manifestations FROM every LEFT JOIN m USING (expression_ark) WHERE work_ark <> '' GROUP BY anchor_id, work_ark",
-    "unclustered_counts": with_(O, OE) + ", m AS (SELECT expression_ark, count(*) AS k FROM o_me GROUP BY expression_ark), w AS (SELECT work_ark, count(*) AS x, CAST(sum(coalesce(k, 0)) AS BIGINT) AS m FROM o_xe LEFT JOIN m ON m.expression_ark = o_xe.ark GROUP BY work_ark) SELECT id, coalesce(x, 0) AS expressions, coalesce(m, 0) AS manifestations FROM o_rec LEFT JOIN w ON w.work_ark = o_rec.ark WHERE type_norm = 'oeuvre'",
-    "relationship_counts": with_(C) + " SELECT r.id, count(DISTINCT nullif(trim(s.v), '')) AS n FROM c_rec r LEFT JOIN c_sub s ON s.row_idx = r.row_idx AND s.code = s.zcode || '$3' AND ((r.type_norm = 'oeuvre' AND s.zcode IN ('700', '701', '702')) OR (r.type_norm = 'expression' AND s.zcode IN ('140', '750')) OR (r.type_norm = 'manifestation' AND s.zcode = '740')) GROUP BY r.id",
+    "unclustered_counts": with_(*REVIEW, OE) + ", m AS (SELECT expression_ark, count(*) AS k FROM o_me GROUP BY expression_ark), w AS (SELECT work_ark, count(*) AS x, CAST(sum(coalesce(k, 0)) AS BIGINT) AS m FROM o_xe LEFT JOIN m ON m.expression_ark = o_xe.ark GROUP BY work_ark) SELECT id, coalesce(x, 0) AS expressions, coalesce(m, 0) AS manifestations FROM o_rec LEFT JOIN w ON w.work_ark = o_rec.ark WHERE type_norm = 'oeuvre' AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'work_id' AND c.key = o_rec.id) AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.kind = 'work_ark' AND c.key = o_rec.ark)",
+    "relationship_counts": with_(C) + " SELECT r.id, count(DISTINCT nullif(trim(s.v), '')) AS n FROM c_rec r LEFT JOIN c_sub s ON s.row_idx = r.row_idx AND s.code = s.zcode || '$3' AND ((r.type_norm = 'oeuvre' AND s.zcode IN ('500', '501', '506', '509', '50N', '54T', '550', '551', '552', '553', '554', '555', '556', '557', '559', '55A', '55B', '55C', '55E', '55F', '55M', '55P', '55R', '55S', '55Z')) OR (r.type_norm = 'expression' AND s.zcode IN ('501', '506', '509', '50N', '540', '541', '542', '543', '544', '547', '54C', '54P', '54T')) OR (r.type_norm = 'manifestation' AND s.zcode IN ('501', '506', '509', '50N', '530', '531', '532', '533', '534', '535', '536', '537', '538', '53M'))) GROUP BY r.id",
+    "bond_counts": with_(C) + " SELECT r.id, count(DISTINCT nullif(trim(s.v), '')) AS n FROM c_rec r LEFT JOIN c_sub s ON s.row_idx = r.row_idx AND s.code = s.zcode || '$3' AND ((r.type_norm = 'oeuvre' AND s.zcode IN ('700', '701', '702')) OR (r.type_norm = 'expression' AND s.zcode IN ('140', '750')) OR (r.type_norm = 'manifestation' AND s.zcode = '740')) GROUP BY r.id",
     "manifestations_by_expression": with_(C, CE) + " SELECT expression_ark, count(*) AS n, min(id) AS first_id FROM c_me GROUP BY expression_ark",
-    "ark_index": with_(O) + f" SELECT ark, arg_max(id, row_idx) AS id, nullif(arg_max(coalesce(v, chr(0)), row_idx), chr(0)) AS title FROM o_rec LEFT JOIN ({first('o', '150$a')}) USING (row_idx) WHERE ark <> '' GROUP BY ark",
+    "ark_index": with_(O) + f" SELECT ark, arg_max(id, row_idx) AS id, nullif(arg_max(coalesce(t.v, chr(0)), row_idx), chr(0)) AS title FROM (SELECT DISTINCT row_idx, id, v AS ark FROM o_sub WHERE zcode = '001' AND code = '001$a' AND v <> '') LEFT JOIN ({first('o', '150$a')}) t USING (row_idx) GROUP BY ark",
     "original_indexes": with_(O, OE) + " SELECT 'work' AS kind, ark, id FROM o_rec WHERE type_norm = 'oeuvre' UNION ALL SELECT 'expression of', work_ark, id FROM o_xe UNION ALL SELECT 'manifestation of', expression_ark, id FROM o_me",
     "merged_index": with_(C, O) + " SELECT id, coalesce(c.ark, CASE WHEN c.id IS NULL THEN o.ark END) AS ark FROM c_rec c FULL JOIN o_rec o USING (id)",
     "record_lookup": with_(C, O) + ", b AS (SELECT lower(ark) AS ark, id, row_idx, 0 AS k FROM c_rec UNION ALL SELECT lower(ark), id, row_idx, 1 FROM o_rec) SELECT ark, arg_max(id, (k, row_idx)) AS id, arg_max(row_idx, (k, row_idx)) AS row_idx FROM b WHERE ark IS NOT NULL GROUP BY ark",
@@ -260,8 +261,8 @@ SELECT id, type_norm, (EXISTS (SELECT 1 FROM cover c WHERE c.kind = k || '_id' A
     "moved_manifestations": with_(C, O, CE, OE) + " SELECT c.id, c.expression_ark AS new_ark, o.expression_ark AS old_ark FROM c_me c JOIN o_me o USING (id) WHERE c.ord = 0 AND o.ord = 0 AND c.expression_ark <> o.expression_ark",
     "move_manifestation": with_(C, CE) + ", f AS (SELECT row_idx, expression_ark AS old FROM c_me WHERE ord = 0), z AS (SELECT DISTINCT row_idx FROM c_zone) SELECT r.id, coalesce(string_agg(CASE WHEN m.expression_ark = f.old THEN 'ark:/12148/cb0x' ELSE m.expression_ark END, '|' ORDER BY m.ord), '') AS parents FROM c_rec r JOIN z USING (row_idx) LEFT JOIN c_me m USING (row_idx) LEFT JOIN f USING (row_idx) WHERE r.type_norm = 'manifestation' GROUP BY r.id",
     "curated_diff": with_(C, O, SERIAL, SERIAL.replace("ser_z", "old_z").replace("ser AS", "old AS").replace("c_zone", "o_zone").replace("c_sub", "o_sub")) + " SELECT id, CASE WHEN old.t IS NULL THEN 'added' WHEN ser.t IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ser FULL JOIN old USING (id) WHERE ser.t IS DISTINCT FROM old.t",
-    "sorted_titles": with_(C) + f" SELECT id, coalesce(title, id) AS title FROM c_rec LEFT JOIN ({zone_text('c', '150')}) USING (row_idx) WHERE type_norm = 'oeuvre'",
-    "work_list": with_(C, CL) + f" SELECT r.id, coalesce(title, r.id) AS title, CASE WHEN r.row_idx IN (SELECT row_idx FROM c_link) THEN 'cluster' ELSE 'work' END AS kind FROM c_rec r LEFT JOIN ({zone_text('c', '150')}) USING (row_idx) WHERE type_norm = 'oeuvre'",
+    "sorted_titles": with_(C) + f" SELECT id, coalesce(title, id) AS title, row_number() OVER (ORDER BY lower(coalesce(title, id)) COLLATE fr, id) AS rank FROM c_rec LEFT JOIN ({zone_text('c', '150')}) USING (row_idx) WHERE type_norm = 'oeuvre'",
+    "work_list": with_(C, CL) + f" SELECT *, row_number() OVER (ORDER BY lower(title) COLLATE fr, kind, id) AS rank FROM (SELECT r.id, coalesce(title, r.id) AS title, CASE WHEN r.row_idx IN (SELECT row_idx FROM c_link) THEN 'cluster' ELSE 'work' END AS kind FROM c_rec r LEFT JOIN ({zone_text('c', '150')}) USING (row_idx) WHERE type_norm = 'oeuvre')",
     "ark_labels": with_(X, LABELS) + " SELECT ark, id, label FROM label",
     "agent_names": with_(C, X, LABELS) + f""", z AS (SELECT id, row_idx, zp, row_number() OVER (PARTITION BY row_idx ORDER BY zp) - 1 AS ord FROM c_zone WHERE zcode IN ('700', '701', '702', '710', '711', '712')),
 s AS (SELECT z.id, z.ord, s.sp, trim(s.v) AS v, lower(regexp_extract(s.code, '[^$]*$')) AS l FROM z JOIN c_sub s USING (row_idx, zp) WHERE trim(coalesce(s.v, '')) <> ''),
@@ -269,7 +270,7 @@ own AS (SELECT id, ord, string_agg(v, ' ' ORDER BY sp) AS name FROM s WHERE l IN
 ref AS (SELECT s.id, s.ord, arg_min(label.label, sp) AS name FROM s JOIN label ON label.ark = {clean('s.v')} WHERE l IN ('0', '3') GROUP BY s.id, s.ord),
 named AS (SELECT z.id, z.ord, coalesce(own.name, ref.name) AS name FROM z LEFT JOIN own USING (id, ord) LEFT JOIN ref USING (id, ord))
 SELECT id, name, min(ord) AS ord FROM named WHERE name IS NOT NULL GROUP BY id, name""",
-    "decorate_text": with_(C, X, LABELS) + f", t AS (SELECT id, string_agg(trim(coalesce(v, '')), '|' ORDER BY zp, sp) AS text FROM c_sub WHERE zcode = '700' AND code = '700$3' GROUP BY id) SELECT t.id, coalesce(replace(text, regexp_extract(text, 'ark:/[^\\s]+'), label), text) AS text FROM t LEFT JOIN label ON label.ark = {clean('''regexp_extract(text, 'ark:/[^\\s]+')''')} WHERE text LIKE 'ark:%' AND text NOT LIKE '%|%'",
+    "decorate_text": with_(C, X, LABELS) + f", t AS (SELECT id, zp, sp, trim(coalesce(v, '')) AS v, nullif(regexp_extract(coalesce(v, ''), 'ark:/[^\\s]+'), '') AS token, string_agg(trim(coalesce(v, '')), ' ') OVER (PARTITION BY id) AS every FROM c_sub WHERE zcode = '700' AND code = '700$3') SELECT t.id, string_agg(coalesce(replace(v, token, label), v), ' ' ORDER BY zp, sp) AS text FROM t LEFT JOIN label ON label.ark = {clean('token')} WHERE every <> '' GROUP BY t.id",
     "breadcrumbs": with_(C, X, LABELS, CE) + f", me AS (SELECT row_idx, id, label FROM lab) SELECT x.id, concat_ws(' › ', p.label, CASE WHEN p.label IS NULL OR p.label <> coalesce(me.label, x.id) THEN coalesce(me.label, x.id) END) AS path FROM c_xe x LEFT JOIN label p ON p.ark = {clean('x.work_ark')} LEFT JOIN me ON me.row_idx = x.row_idx WHERE x.ord = 0",
     "responsible_arks": with_(C) + ", s AS (SELECT id, zcode, zp, sp, rtrim(regexp_extract(coalesce(v, ''), '(ark:/12148/\\S*)', 1), ').,;') AS ark FROM c_sub WHERE zcode IN ('700', '701', '702', '710', '711', '712')), f AS (SELECT id, ark, min((zcode, zp, sp)) AS k FROM s WHERE ark <> '' GROUP BY id, ark) SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS ord, ark FROM f",
     "honorific_variants": with_(C, variants("c")) + " SELECT id, variant FROM c_variant",
@@ -279,7 +280,14 @@ SELECT id, name, min(ord) AS ord FROM named WHERE name IS NOT NULL GROUP BY id,
     "ark_sources": "SELECT ark, min(source) AS source FROM (SELECT trim(ark) AS ark, CAST(0 AS BIGINT) AS source FROM nes_variant UNION ALL SELECT trim(work_ark), 1 FROM detection_record) WHERE ark <> '' GROUP BY ark",
     "dedupe_ordered": "SELECT DISTINCT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY p) - 1 AS ord, ark FROM (SELECT cluster_id, min(p) AS p, trim(a[p]) AS ark FROM (SELECT DISTINCT cluster_id, clustered_arks AS a FROM cluster_result), unnest(range(1, len(a) + 1)) t(p) WHERE trim(a[p]) <> '' GROUP BY cluster_id, trim(a[p]))",
     "guess_delimiter": "SELECT file_name, CASE WHEN length(line) - length(replace(line, ',', '')) > length(line) - length(replace(line, ';', '')) THEN ',' ELSE ';' END AS delimiter FROM raw_entity_line WHERE line_no = 1",
-    "folded_map": f"SELECT detection_id, {match_form('title')} AS form, length({match_form('title')}) AS n FROM detection_record WHERE title IS NOT NULL",
+    "folded_map": f"""SELECT detection_id, form, length(form) AS n, array_to_string(list_transform(range(0, length(form)), lambda k: coalesce(spots[k + 1], spots[-1])), ' ') AS places FROM (
+SELECT detection_id, {match_form('title')} AS form, flatten(list_transform(range(0, length(title)), lambda i: list_transform(range(0, length({fold('title[i + 1]')})), lambda k: i))) AS spots FROM detection_record WHERE title IS NOT NULL)""",
+    "work_clusters": with_(*REVIEW) + " SELECT kind, key, arg_min(anchor_id, (anchor_row, p)) AS anchor_id FROM (SELECT 'id' AS kind, anchor_id AS key, anchor_id, anchor_row, 0 AS p FROM item UNION ALL SELECT 'id', item_id, anchor_id, anchor_row, 1 FROM item UNION ALL SELECT 'ark', anchor_ark, anchor_id, anchor_row, 0 FROM item UNION ALL SELECT 'ark', item_ark, anchor_id, anchor_row, 1 FROM item) WHERE key <> '' GROUP BY kind, key",
+    "expression_clusters": with_(*REVIEW) + """, e AS (SELECT DISTINCT anchor_id, role, expression_id, expression_ark, anchor_row, CASE role WHEN 'anchor' THEN 0 WHEN 'clustered' THEN 1 ELSE 2 END AS r FROM every JOIN (SELECT DISTINCT anchor_id, anchor_row FROM item) USING (anchor_id))
+SELECT kind, key, arg_min(anchor_id, (anchor_row, r)) AS anchor_id, arg_min(role, (anchor_row, r)) AS role FROM (SELECT 'id' AS kind, expression_id AS key, * FROM e UNION ALL SELECT 'ark', expression_ark, * FROM e) WHERE key <> '' GROUP BY kind, key""",
+    "tab_lookup": with_(C, O) + " SELECT kind, key, arg_max(row_idx, (k, row_idx)) AS row_idx FROM (SELECT 'id' AS kind, id AS key, row_idx, 0 AS k FROM o_rec UNION ALL SELECT 'ark', lower(ark), row_idx, 0 FROM o_rec UNION ALL SELECT 'id', id, row_idx, 1 FROM c_rec UNION ALL SELECT 'ark', lower(ark), row_idx, 1 FROM c_rec) WHERE key IS NOT NULL GROUP BY kind, key",
+    "filter_wem": with_(C) + " SELECT id, type_norm FROM c_rec WHERE type_norm IN ('oeuvre', 'expression', 'manifestation')",
+    "filter_equal": "SELECT edge_id FROM entitelrm_entitelrm WHERE codesouszone = '750$3'",
     "name_variants": with_(C, variants("c")) + " SELECT id, v AS variant FROM c_form",
     "apply_work_decisions": with_(C, O, CL, ITEMS) + " SELECT anchor_id, ord, item_ark, item_id IS NOT NULL AS accepted, CASE WHEN item_id IS NOT NULL THEN date END AS date FROM item",
     "apply_expression_decisions": with_(*REVIEW) + " SELECT anchor_id, expression_id, work_ark, NOT EXISTS (SELECT 1 FROM item i WHERE i.anchor_id = every.anchor_id AND i.item_ark = every.work_ark AND i.item_id IS NULL) AS accepted FROM every WHERE role = 'clustered'",

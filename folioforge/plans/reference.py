@@ -17,6 +17,8 @@ from folioforge.operators import authority, clustering, detection, extraction, l
 from folioforge.operators import entities as E
 from folioforge.operators import record as R
 from folioforge.operators.flatten import flatten_subfields, flatten_zones
+from folioforge.operators.labels import AGENT_ZONES
+from folioforge.operators.ordering import collated, ranked
 from folioforge.session import materialize
 from folioforge.sources.arks import distinct_in_order, found_arks
 from folioforge.sources.csv_entities import delimiter_of, with_updates
@@ -24,9 +26,24 @@ from folioforge.sources.tables import table
 
 #: Queries that read the parsed records more than twice.
 PARSED_ONCE = frozenset(
-    "cluster_expressions expr_pairs detect_clusters apply_work_decisions apply_expression_decisions expression_groups independent_expressions coverage is_clustered unclustered_works work_counts primary_expression work_list "
+    "cluster_expressions expr_pairs detect_clusters apply_work_decisions apply_expression_decisions expression_groups independent_expressions coverage is_clustered unclustered_works unclustered_counts work_clusters expression_clusters work_counts primary_expression work_list "
     "agent_names breadcrumbs decorate_text merge_updates export_curated title_key clean_title detect_hits detect_contamination variant_spans parent_entity first_child original_indexes".split()
 )
+#: The zones that queries read, where it isn't all: only these are shuffled and written. The ARK and the type are always there.
+_TITLES, _LINKS, _GROUPS = ("150",), ("140", "750", "740"), ("015", "700", "150")
+_CLUSTERS = ("001", "150", "90F", *_LINKS)
+_LABELS = ("100", "110", "150", "163", "169", "186", "245")
+ZONES_READ: dict[str, tuple[str, ...]] = {
+    "zone_filter": ("700",), "subfield_values": ("701",), "first_subfield": ("601",), "entity_ark": (), "title_main": _TITLES, "work_group_key": _GROUPS, "display_title": _TITLES, "manifestation_title": ("245",),
+    "ark_to_id": (), "derive_internal_id": (), "cluster_targets": ("90F",), "existing_targets": ("90F",), "expr_signature": ("051", "041"), "filter_works": (), "filter_expressions": (), "filter_wem": (),
+    "record_source": (), "merged_index": (), "record_lookup": (), "tab_lookup": (), "ark_index": ("001", "150"), "bond_counts": ("700", "701", "702", *_LINKS), "responsible_arks": AGENT_ZONES, "name_variants": ("100", "400"),
+    "honorific_variants": ("100", "400"), "sorted_titles": _TITLES, "ark_labels": _LABELS, "agent_names": (*AGENT_ZONES, *_LABELS), "decorate_text": ("700", *_LABELS), "breadcrumbs": (*_LINKS, *_LABELS), "extract_arks": (),
+    "cluster_expressions": (*_GROUPS, *_LINKS, "041", "051", "90F"), "expr_pairs": (*_GROUPS, *_LINKS, "041", "051", "90F"), "relationship_counts": tuple(sorted({z for codes in review.RELATIONSHIPS.values() for z in codes})),
+} | dict.fromkeys("has_suffix illustration_trigger normalize_title work_groups work_anchors cluster_works cluster_sizes".split(), _GROUPS) | dict.fromkeys(
+    "expr_work_edges manif_expr_edges expressions_by_work manifestations_by_expression inventory_cluster parent_entity first_child moved_manifestations original_indexes".split(), _LINKS
+) | dict.fromkeys(
+    "detect_clusters apply_work_decisions apply_expression_decisions expression_groups independent_expressions coverage is_clustered unclustered_works unclustered_counts work_clusters expression_clusters work_counts primary_expression work_list".split(), _CLUSTERS
+)
 RUN_DATE = "2026-01-31"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,8 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 class Catalogue:
     """The tables of a folder, as the operators take them."""
 
-    def __init__(self, spark: SparkSession, folder: str, keep: bool = False) -> None:
+    def __init__(self, spark: SparkSession, folder: str, keep: bool = False, codes: tuple[str, ...] | None = None) -> None:
         self.keep = keep  # whether records are parsed once and written, for queries that read them several times
+        self.codes = codes  # the zones that are read, or None for all
         self.rows = table(spark, folder, "test_honorific")
         self.authorities = table(spark, folder, "authority_core")
         self.edges = table(spark, folder, "entitelrm_entitelrm")
@@ -47,21 +65,21 @@ class Catalogue:
 
     @cached_property
     def curated(self) -> DataFrame:
-        return self._parsed(E.last_rows(self.rows), "curated")
+        return self._parsed(E.last_rows, "curated")
 
     @cached_property
     def original(self) -> DataFrame:
-        return self._parsed(E.first_rows(self.rows), "original")
+        return self._parsed(E.first_rows, "original")
 
-    def _parsed(self, rows: DataFrame, name: str) -> DataFrame:
-        df = E.index_records(rows)
+    def _parsed(self, pick: Callable[..., DataFrame], name: str) -> DataFrame:
+        df = E.index_records(pick(self.rows)) if self.codes is None else pick(self.rows, E.index_records(self.rows, self.codes))
         return materialize(df, name) if self.keep else df
 
     @property
     def everything(self) -> DataFrame:
         """Curated records and the controlled values, in order."""
         core = self.authorities.withColumn("row_idx", -F.col("id_entitelrm").cast("long"))
-        return self.curated.unionByName(E.index_records(core))
+        return self.curated.unionByName(E.index_records(core, self.codes))
 
     @property
     def seeds(self) -> DataFrame:
@@ -83,7 +101,7 @@ class Catalogue:
 
 def query(f: Callable[[Catalogue], DataFrame]) -> Callable[[Catalogue], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        out = f(Catalogue(spark, folder, f.__name__ in PARSED_ONCE))
+        out = f(Catalogue(spark, folder, f.__name__ in PARSED_ONCE, ZONES_READ.get(f.__name__)))
         return out.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
 
     QUERIES[f.__name__] = run
@@ -242,6 +260,11 @@ def validate_keys(c):
     return review.key_problems(c.rows)
 
 
+def _by_title(titles: DataFrame) -> DataFrame:
+    """Rows (id, title) with their place in the order of titles, then ids."""
+    return ranked(titles, collated(F.col("title")), F.col("id"))
+
+
 # Filters
 
 
@@ -273,7 +296,7 @@ def is_clustered(c):
 @query
 def unclustered_works(c):
     state = review.is_clustered(E.of_type(c.original, E.WORK), c.coverage).filter("not clustered").select("id")
-    return E.of_type(c.original, E.WORK).join(state, "id", "left_semi").select("id", F.coalesce(review.display_title(c.z), "id").alias("title"))
+    return _by_title(E.of_type(c.original, E.WORK).join(state, "id", "left_semi").select("id", F.coalesce(review.display_title(c.z), "id").alias("title")))
 
 
 @query
@@ -311,7 +334,7 @@ def ark_hits(c):
 
 @query
 def extract_neighbourhood(c):
-    return extraction.neighbourhood(c.seeds, c.edges, c.rows).select("row_idx", "id_entitelrm", "type_entite")
+    return ranked(extraction.neighbourhood(c.seeds, c.edges, c.rows).select("row_idx", "id_entitelrm", "type_entite"), F.col("id_entitelrm").cast("long"), F.col("row_idx"))
 
 
 @query
@@ -378,7 +401,8 @@ def merge_updates(c):
 @query
 def export_curated(c):
     new = with_updates(E.last_rows(c.rows), clustering.linked_works(c.curated, RUN_DATE))
-    return new.select("row_idx", "id_entitelrm", "type_entite", F.col("intermarc").contains(f'"{RUN_DATE}"').alias("updated"))
+    updated = F.col("intermarc").contains(f'"{RUN_DATE}"')
+    return new.select("row_idx", "id_entitelrm", "type_entite", updated.alias("updated"), F.when(~updated, F.md5("intermarc")).alias("digest"))
 
 
 # Review
@@ -431,11 +455,19 @@ def work_counts(c):
 
 @query
 def unclustered_counts(c):
-    return review.unclustered_counts(E.of_type(c.original, E.WORK), c.original)
+    works = E.of_type(c.original, E.WORK)
+    state = review.is_clustered(works, c.coverage).filter("not clustered").select("id")
+    return review.unclustered_counts(works.join(state, "id", "left_semi"), c.original)
 
 
 @query
 def relationship_counts(c):
+    return review.relationship_counts(c.curated)
+
+
+@query
+def bond_counts(c):
+    """The same over the zones that bind works, expressions and manifestations to each other."""
     return review.relationship_counts(c.curated, {E.WORK: ("700", "701", "702"), E.EXPRESSION: ("140", "750"), E.MANIFESTATION: ("740",)})
 
 
@@ -469,6 +501,35 @@ def primary_expression(c):
     return review.primary_expressions(c.expressions)
 
 
+@query
+def work_clusters(c):
+    return review.cluster_of_works(c.items)
+
+
+@query
+def expression_clusters(c):
+    return review.cluster_of_expressions(c.items, c.expressions)
+
+
+@query
+def tab_lookup(c):
+    """By id and by ARK, the record that comes last: original records first, then curated ones."""
+    both = c.original.select("id", F.lower("ark").alias("ark"), "row_idx", F.lit(0).alias("k")).unionByName(c.curated.select("id", F.lower("ark").alias("ark"), "row_idx", F.lit(1).alias("k")))
+    keys = F.array(F.struct(F.lit("id").alias("kind"), F.col("id").alias("key")), F.struct(F.lit("ark").alias("kind"), F.col("ark").alias("key")))
+    last = both.select(F.explode(keys).alias("x"), "row_idx", "k").filter("x.key is not null").groupBy("x.kind", "x.key").agg(F.max_by("row_idx", F.struct("k", "row_idx")).alias("row_idx"))
+    return last.select("kind", "key", "row_idx")
+
+
+@query
+def filter_wem(c):
+    return c.curated.filter(F.col("type_norm").isin(E.WORK, E.EXPRESSION, E.MANIFESTATION)).select("id", "type_norm")
+
+
+@query
+def filter_equal(c):
+    return review.equal_where_given(c.edges, codesouszone="750$3", id_entitelrm_source=None).select("edge_id")
+
+
 @query
 def inventory_cluster(c):
     works = E.of_type(c.original, E.WORK).filter("ark is not null").select(F.col("id").alias("work_id"), F.col("ark").alias("work_ark"))
@@ -508,14 +569,15 @@ def curated_diff(c):
 @query
 def sorted_titles(c):
     titles = E.of_type(c.curated, E.WORK).select("id", F.coalesce(review.display_title(c.z), "id").alias("title"))
-    return titles.orderBy(F.expr("title COLLATE fr_CI"), "id")
+    return _by_title(titles)
 
 
 @query
 def work_list(c):
     anchors = c.items.select(F.col("anchor_id").alias("id")).distinct().withColumn("kind", F.lit("cluster"))
     titled = E.of_type(c.curated, E.WORK).select("id", F.coalesce(review.display_title(c.z), "id").alias("title"))
-    return titled.join(anchors, "id", "left").select("id", "title", F.coalesce("kind", F.lit("work")).alias("kind"))
+    mixed = titled.join(anchors, "id", "left").select("id", "title", F.coalesce("kind", F.lit("work")).alias("kind"))
+    return ranked(mixed, collated(F.col("title")), F.col("kind"), F.col("id"))  # clusters before works
 
 
 # Labels and names
@@ -533,7 +595,7 @@ def agent_names(c):
 
 @query
 def decorate_text(c):
-    texts = c.curated.select("id", joined(F.transform(R.values(c.z, "700", "3"), lambda v: F.trim(v))).alias("text")).filter("text like 'ark:%' and text not like '%|%'")
+    texts = c.curated.select("id", F.array_join(F.transform(R.values(c.z, "700", "3"), lambda v: F.trim(v)), " ").alias("text")).filter("text <> ''")
     return labels.decorate(texts, "text", labels.ark_labels(c.everything), "id")
 
 
@@ -608,7 +670,7 @@ def fold_diacritics(c):
 @query
 def folded_map(c):
     maps = detection.folded_maps(c.detections.select(F.col("detection_id").alias("id"), "title"))
-    return maps.select(F.col("id").cast("long").alias("detection_id"), "form", F.size("places").alias("n"))
+    return maps.select(F.col("id").cast("long").alias("detection_id"), "form", F.size("places").alias("n"), F.array_join(F.transform("places", lambda p: p.cast("string")), " ").alias("places"))
 
 
 @query
@@ -643,7 +705,7 @@ def _titles(c: Catalogue) -> DataFrame:
     """Works with their titles and all names of their agents."""
     works = E.of_type(c.curated, E.WORK).select("id", R.first(c.z, "150", "a").alias("title"), F.explode_outer(authority.responsible_arks(c.z)).alias("ark")).filter("title <> ''")
     named = works.select("id", "title", R.clean_ark(F.col("ark")).alias("ark")).join(_known_names(c), "ark", "left")
-    return named.groupBy("id", "title").agg(F.sort_array(F.collect_set("variant")).alias("variants"))
+    return named.groupBy("id", "title").agg(F.sort_array(F.collect_set(F.when(detection.holds_name(F.col("title"), F.col("variant")), F.col("variant")))).alias("variants"))
 
 
 def _titles_by_name(c: Catalogue) -> DataFrame:
@@ -660,12 +722,13 @@ def detect_hits(c):
 @query
 def detect_contamination(c):
     """At the usual thresholds no name reaches the report, as separators never stand in matching forms; 0.3 shows what is there."""
-    return detection.find_names(_titles_by_name(c), least=0.3, high=0.85).select("id", "ark", "variant", "score", "snippet", "confidence")
+    works = E.of_type(c.curated, E.WORK).select("id", "ark", R.first(c.z, "150", "a").alias("title"))
+    return detection.contamination(works, _titles_by_name(c), detection.clean_titles(_titles(c)), least=0.3, high=0.85)
 
 
 @query
 def variant_spans(c):
-    return detection.find_names(_titles_by_name(c), least=0.0).select("id", "start", "end").distinct()
+    return detection.find_names(_titles_by_name(c), least=0.0, telling=0).select("id", "start", "end").distinct()
 
 
 @query

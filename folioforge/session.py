@@ -28,12 +28,14 @@ def local_session(app: str = "folioforge", cores: str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors reach. Only where it is unset, as in
-    tests on one machine, a temporary one is made and set."""
+    """The folder of spark.checkpoint.dir, which all executors reach. Where it is unset a temporary one is made and set, in
+    sessions of one machine only, as in tests: on a cluster each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

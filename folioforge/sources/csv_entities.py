@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators.entities import serialize
+from folioforge.operators.record import parse_zones
 from folioforge.session import ship
 
 REQUIRED = ("id_entitelrm", "type_entite", "intermarc")
@@ -65,9 +66,12 @@ def read_entities(spark: SparkSession, path: str, sep: str | None = None) -> Dat
 
 
 def with_updates(rows: DataFrame, updates: DataFrame) -> DataFrame:
-    """rows with the intermarc of updates (id, zones) where they have the id; all others as they are."""
+    """rows as they are written: with the intermarc of updates (id, zones) where they have the id, with their own records written anew
+    where they can be read, and as it stands where they can't."""
     new = updates.select(F.col("id").alias("id_entitelrm"), serialize(F.col("zones")).alias("_new"))
-    return rows.join(new, "id_entitelrm", "left").withColumn("intermarc", F.coalesce("_new", "intermarc")).drop("_new").select(*rows.columns)
+    zones = parse_zones(F.col("intermarc"))
+    own = rows.withColumn("_zones", zones).withColumn("_own", F.when(F.col("_zones").isNotNull(), serialize(F.col("_zones"))))
+    return own.join(new, "id_entitelrm", "left").withColumn("intermarc", F.coalesce("_new", "_own", "intermarc")).select(*rows.columns)
 
 
 def write_entities(rows: DataFrame, path: str) -> None:

@@ -33,3 +33,16 @@ def test_own_agents_only(spark, folder):
     titles = [("Contes bleus (Odile Ralpemontois)", [ONE]), ("Contes verts par Charlotte Belnetier", [ONE]), ("Contes gris par Jeanne Corpignet", [])]
     c = catalogue(spark, folder, titles, [(ONE, "Ralpemont", "Odile"), (TWO, "Belnetier", "Charlotte")])
     assert {(r.id, r.ark, r.variant) for r in detection.find_names(P._titles_by_name(c), least=0.0).collect()} == {("9000", ONE, "Odile Ralpemont")}
+
+
+def test_report(spark, folder):
+    """Each hit of the report has its work, its agent's ARK, place and score; one telling token is enough for spans only."""
+    titles = [("Odile Ralpemont : contes illustrés par Odile Ralpemont", [ONE]), ("Contes de Voltaire", [TWO])]
+    c = catalogue(spark, folder, titles, [(ONE, "Ralpemont", "Odile"), (TWO, "Voltaire", "")])
+    works = spark.createDataFrame([("9000", "W", titles[0][0]), ("9001", None, titles[1][0])], "id string, ark string, title string")
+    out = detection.contamination(works, P._titles_by_name(c), detection.clean_titles(P._titles(c)), least=0.3).collect()
+    got = {(r.id_entitelrm, r.work_ark, r.author_ark, r.matched_variant, r.score, r.confidence) for r in out}
+    assert got == {("9000", "W", ONE, "Odile Ralpemont", 0.45, "medium"), ("9000", "W", ONE, "Odile Ralpemont", 0.3, "medium")}
+    assert {r.cleaned_title for r in out} == {"contes"}
+    spans = detection.find_names(P._titles_by_name(c), least=0.0, telling=0).collect()
+    assert {(r.id, r.start, r.end) for r in spans if r.id == "9001"} == {("9001", 10, 18)}
