@@ -182,6 +182,21 @@ ref AS (SELECT DISTINCT 'test_honorific' AS src_table, s.row_idx AS src_row, {cl
 met AS (SELECT r.*, coalesce(b.first, k.first) AS first, coalesce(b.gone, k.gone) AS gone FROM ref r LEFT JOIN by_ark b ON r.is_ark AND b.ark = r.ref LEFT JOIN known k ON NOT r.is_ark AND k.id = r.ref),
 verdict AS (SELECT src_table, src_row, ref, strftime(seen AT TIME ZONE 'UTC', '%Y-%m') AS period, CASE WHEN gone IS NULL THEN 'missing' WHEN gone THEN 'deleted' WHEN strftime(first AT TIME ZONE 'UTC', '%Y-%m') > strftime(seen AT TIME ZONE 'UTC', '%Y-%m') THEN 'later' END AS reason FROM met)"""
 
+#: The terms of responsibility and the words that don't tell names apart, as they are sought in matching forms.
+_TERMS = "['illustre', 'illustree', 'illustrations', 'ill.', 'illustr.', 'vignettes', 'images', 'gravures', 'dessins', 'photographies', 'lithographies', 'lith.', 'couverture', 'couv.', 'd''après', 'adapt.', 'adaptation', 'tiré', 'traduit', 'traduction', 'presente', 'preface', 'introduction', 'edite', 'edition', 'commentaire', 'accompagne', 'suivi']"
+_STOPS = "['', 'de', 'la', 'le', 'les', 'du', 'des', 'd']"
+HITS = f"""
+own AS (SELECT {clean('r.ark')} AS ark, r.row_idx, variant FROM x_variant v JOIN x_rec r USING (row_idx)), l AS (SELECT ark, max(row_idx) AS row_idx FROM own WHERE ark IS NOT NULL GROUP BY ark),
+named AS (SELECT ark, variant FROM own JOIN l USING (ark, row_idx) UNION SELECT {clean('ark')}, variant FROM nes_variant WHERE {clean('ark')} IS NOT NULL AND variant IS NOT NULL),
+titled AS (SELECT r.id, r.ark AS work_ark, t.v AS title FROM x_rec r JOIN ({first('x', '150$a')}) t USING (row_idx) WHERE r.type_norm = 'oeuvre' AND r.row_idx >= 0 AND t.v <> ''),
+agent AS (SELECT DISTINCT id, {clean("rtrim(regexp_extract(coalesce(v, ''), '(ark:/12148/[^ ]*)', 1), ').,;')")} AS ark FROM x_sub WHERE row_idx >= 0 AND zcode IN ('700', '701', '702', '710', '711', '712')),
+pair AS (SELECT id, work_ark, title, ark, variant, {match_form('title')} AS form, {match_form('variant')} AS name FROM titled JOIN agent USING (id) JOIN named USING (ark)),
+placed AS (SELECT *, unnest(list_filter(range(0, length(form) - length(name) + 1), lambda p: substr(form, p + 1, length(name)) = name)) AS at0,
+  flatten(list_transform(range(0, length(title)), lambda i: list_transform(range(0, length({fold('title[i + 1]')})), lambda k: i))) AS spots FROM pair WHERE name <> '' AND contains(form, name)),
+hit AS (SELECT id, work_ark, title, ark, variant, len(list_filter(string_split(name, ' '), lambda t: NOT list_contains({_STOPS}, t))) AS telling, spots[at0 + 1] AS s, spots[at0 + length(name)] + 1 AS e,
+  round(CASE WHEN len(list_filter({_TERMS}, lambda t: contains(substr(form, greatest(at0 - 32, 0) + 1, at0 + length(name) + 32 - greatest(at0 - 32, 0)), t))) > 0 THEN 0.3 ELSE 0 END + CASE WHEN at0 <= 5 THEN 0.15 ELSE 0 END, 3)::DOUBLE AS score FROM placed)"""
+
+
 SQL: dict[str, str] = {
     "p6_found": with_(A) + " SELECT row_idx, CAST(zp AS INTEGER) AS zone_pos, CAST(sp AS INTEGER) AS sub_pos FROM a_sub",
     "p3_found": _ORPHANS + " SELECT src_table, src_row, ref, period FROM verdict WHERE reason IS NOT NULL",
@@ -288,6 +303,11 @@ SELECT kind, key, arg_min(anchor_id, (anchor_row, r)) AS anchor_id, arg_min(role
     "tab_lookup": with_(C, O) + " SELECT kind, key, arg_max(row_idx, (k, row_idx)) AS row_idx FROM (SELECT 'id' AS kind, id AS key, row_idx, 0 AS k FROM o_rec UNION ALL SELECT 'ark', lower(ark), row_idx, 0 FROM o_rec UNION ALL SELECT 'id', id, row_idx, 1 FROM c_rec UNION ALL SELECT 'ark', lower(ark), row_idx, 1 FROM c_rec) WHERE key IS NOT NULL GROUP BY kind, key",
     "filter_wem": with_(C) + " SELECT id, type_norm FROM c_rec WHERE type_norm IN ('oeuvre', 'expression', 'manifestation')",
     "filter_equal": "SELECT edge_id FROM entitelrm_entitelrm WHERE codesouszone = '750$3'",
+    "detect_hits": with_(X, variants("x"), HITS) + """ SELECT id, ark, variant, score, s AS start, e AS "end", CASE WHEN score >= 0.85 THEN 'high' ELSE 'medium' END AS confidence FROM hit WHERE telling >= 2""",
+    "variant_spans": with_(X, variants("x"), HITS) + ' SELECT DISTINCT id, s AS start, e AS "end" FROM hit',
+    "merge_ranges": """WITH w AS (SELECT detection_id, title, unnest(regexp_extract_all(title, '(\\w+)', 1)) AS w FROM detection_record WHERE title IS NOT NULL), r AS (SELECT detection_id, instr(title, w) AS s, instr(title, w) + length(w) + 1 AS e FROM w),
+m AS (SELECT detection_id, s > max(e) OVER (PARTITION BY detection_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM r)
+SELECT d.detection_id, count(m.detection_id) FILTER (WHERE coalesce(later, true)) AS n FROM detection_record d LEFT JOIN m USING (detection_id) WHERE title IS NOT NULL GROUP BY d.detection_id""",
     "name_variants": with_(C, variants("c")) + " SELECT id, v AS variant FROM c_form",
     "apply_work_decisions": with_(C, O, CL, ITEMS) + " SELECT anchor_id, ord, item_ark, item_id IS NOT NULL AS accepted, CASE WHEN item_id IS NOT NULL THEN date END AS date FROM item",
     "apply_expression_decisions": with_(*REVIEW) + " SELECT anchor_id, expression_id, work_ark, NOT EXISTS (SELECT 1 FROM item i WHERE i.anchor_id = every.anchor_id AND i.item_ark = every.work_ark AND i.item_id IS NULL) AS accepted FROM every WHERE role = 'clustered'",

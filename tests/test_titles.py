@@ -1,6 +1,14 @@
+import glob
 import json
+import os
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from folioforge.operators import detection
+from folioforge.plans import oracle
 from folioforge.plans import reference as P
 
 ONE, TWO = "ark:/12148/cb100000001a", "ark:/12148/cb100000002b"
@@ -46,3 +54,36 @@ def test_report(spark, folder):
     assert {r.cleaned_title for r in out} == {"contes"}
     spans = detection.find_names(P._titles_by_name(c), least=0.0, telling=0).collect()
     assert {(r.id, r.start, r.end) for r in spans if r.id == "9001"} == {("9001", 10, 18)}
+
+
+@pytest.fixture(scope="module")
+def named(folder, tmp_path_factory):
+    """The smallest tables with works added whose titles hold the names of their agents."""
+    out = str(tmp_path_factory.mktemp("named"))
+    for f in glob.glob(f"{folder}/*.parquet"):
+        pq.write_table(pq.read_table(f), f"{out}/{os.path.basename(f)}")
+    store = [r for r in pq.read_table(f"{folder}/nes_variant.parquet").to_pylist() if r["ark"] and len(r["variant"] or "") > 8][:12]
+    records = pq.read_table(f"{folder}/test_honorific.parquet")
+    rows = records.to_pylist()
+    last = max(r["row_idx"] for r in rows)
+    for k, r in enumerate(store):
+        name = r["variant"]
+        title = [f"{name} : contes œuvre", f"Contes – traduits par {name}, avec {name}", f"Histoire… œil, illustrations de {name}"][k % 3]
+        zones = [("001", "a", f"ark:/12148/cb9{k}x"), ("150", "a", title), ("700", "3", r["ark"])]
+        record = {"zones": [{"code": c, "sousZones": [{"code": f"{c}${x}", "valeur": v}]} for c, x, v in zones]}
+        rows.append(rows[0] | {"row_idx": last + 1 + k, "id_entitelrm": str(99_000_000 + k), "type_entite": "Œuvre", "intermarc": json.dumps(record)})
+    pq.write_table(pa.Table.from_pylist(rows, schema=records.schema), f"{out}/test_honorific.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["detect_hits", "variant_spans"])
+def test_hits_equal_sql(spark, named, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{named}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df = P.QUERIES[name](spark, named)
+    want = con.execute(oracle.SQL[name])
+    cols = [d[0] for d in want.description]
+    assert sorted(cols) == sorted(df.columns)
+    got = sorted(tuple(r[c] for c in cols) for r in df.collect())
+    assert len(got) > 10 and got == sorted(want.fetchall())
