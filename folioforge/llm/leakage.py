@@ -113,6 +113,9 @@ def _extend(doc: list[str], item: list[str], d: int, i: int, step: int, found: s
             continue
         # A word written apart or together.
         for da, ia in ((2, 1), (1, 2)):
+            longer, part = (item[i], doc[d]) if da == 2 else (doc[d], item[i])
+            if not (longer.startswith(part) if step > 0 else longer.endswith(part)):
+                continue
             x = "".join(doc[d + k * step] for k in (range(da) if step > 0 else range(da - 1, -1, -1)) if 0 <= d + k * step < n_doc)
             y = "".join(item[i + k * step] for k in (range(ia) if step > 0 else range(ia - 1, -1, -1)) if 0 <= i + k * step < n_item)
             if x == y:
@@ -210,9 +213,10 @@ def _densest(covered: np.ndarray, plain_word: np.ndarray) -> int:
     return int(np.where(good, counted[last + 1] - counted[first], 0).max())
 
 
-def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int = 6) -> tuple[int, float]:
+def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int = 6, words: int = 0, whole: float = 0.0) -> tuple[int, float]:
     """(words of the longest run of the item found in the document, formulas aside; share of its words found in stretches).
-    Stretches of fewer than `least` tokens don't count, unless the item itself is shorter."""
+    Stretches of fewer than `least` tokens don't count, unless the item itself is shorter. Where all that is found is too little
+    for `words` in a run and for the share `whole`, nothing is put together and 0 is returned for both."""
     least = min(least, len(it.tokens))
     segments: list[tuple[int, int, int, int, set[int]]] = []
     active: list[tuple[int, int, int, int, set[int]]] = []  # those that reach as far as the hit at hand
@@ -236,6 +240,10 @@ def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int
                 d, i = d + 1, i + 1
     if not segments:
         return 0, 0.0
+    held = {it.word[i] for s in segments for i in s[4]}
+    counted = sum(not it.formula[w] for w in held)
+    if counted < words and counted < whole * (it.n_words - int(it.formula.sum())):
+        return 0, 0.0
     segments.sort(key=lambda s: s[:4])
     best, plain_word = 0, ~it.formula
     all_found = np.zeros(it.n_words, bool)
@@ -289,7 +297,7 @@ def _search(block: list[tuple[int, str]], formulas: dict[int, list[int]], words:
                 for tokens, s in zip(parts, starts):
                     ids[s : s + len(tokens)] = [known(t, 0) for t in tokens]
                 for (n, k), hits in index.hits(ids, np.array(starts)).items():
-                    run_words, share = longest_run(parts[n], items[k], hits)
+                    run_words, share = longest_run(parts[n], items[k], hits, words=words, whole=whole)
                     if run_words >= words or share >= whole:
                         docs.append(keys[first + n])
                         found.append((items[k].key, run_words, share))
