@@ -242,7 +242,7 @@ def longest_run(doc: list[str], it: Item, hits: set[tuple[int, int]], least: int
         return 0, 0.0
     held = {it.word[i] for s in segments for i in s[4]}
     counted = sum(not it.formula[w] for w in held)
-    if counted < words and counted < whole * (it.n_words - int(it.formula.sum())):
+    if len(held) < DENSITY * words and counted < whole * (it.n_words - int(it.formula.sum())):
         return 0, 0.0
     segments.sort(key=lambda s: s[:4])
     best, plain_word = 0, ~it.formula

@@ -110,3 +110,19 @@ def test_recall_by_rate_of_misprints():
             n += bool(hits) and L.longest_run(doc, it, hits)[0] >= 20
         found[rate] = n / 60
     assert found[0.0] == 1 and found[0.1] >= 0.98 and found[0.2] >= 0.95 and found[0.3] >= 0.95, found
+
+
+def test_leaving_early_changes_nothing():
+    """Pairs that are left before their runs are put together could not have been reported."""
+    rng = random.Random(8)
+    for _ in range(150):
+        item = words(40, rng)
+        at, n = rng.randrange(15), rng.randint(14, 24)
+        passage = [w for w in item[at : at + n] if rng.random() > 0.08]
+        it = L.Item(1, " ".join(item))
+        it.formula[rng.randrange(40) :][:4] = True
+        doc = L._TOKEN.findall(L.plain(" ".join([*words(8, rng), *passage, *words(8, rng)])))
+        index = L.Index([it])
+        hits = index.hits(L.np.array([index.ids.get(t, 0) for t in doc], L.np.uint64), L.np.array([0])).get((0, 0), set())
+        full, short = L.longest_run(doc, it, hits), L.longest_run(doc, it, hits, words=20, whole=0.9)
+        assert (full[0] >= 20 or full[1] >= 0.9) == (short[0] >= 20 or short[1] >= 0.9)
