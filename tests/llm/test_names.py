@@ -142,3 +142,17 @@ def test_candidates_against_brute_force(spark, common):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     links, groups = N.link_names(df, common=common)
     assert want <= {(r.a, r.b) for r in links.collect()}
+
+
+def test_tables_of_names_are_not_broadcast(spark):
+    """Whatever Spark takes their files for, only the list of large files may go through the driver."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    rows = [person(f"k{i:02}", f"{s} {n}") for i, (s, n) in enumerate(itertools.product(["Ralpemont", "Ralpement", "Vandamme"], ["Odile", "Octave", "O."]))]
+    assert ("k00", "k03") in run(spark, rows)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert sum("BroadcastExchange" in p for p in plans) <= 1
